@@ -17,9 +17,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined; those without text or without a letter go."""
+    """Documents in a language that agrees with their lang column.
+
+    Those without text or without a letter go, and those whose text is surely (score of
+    0.99 or more) in another language than lang says; a null lang says nothing.
+    """
     model = language_id.fit_languages(docs)
-    return language_id.identify(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    found = language_id.identify(docs, model)
+    other = F.coalesce((F.col("lang_pred") != F.col("lang")) & (F.col("score") >= 0.99), F.lit(False))
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & ~other).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
