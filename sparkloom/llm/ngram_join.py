@@ -12,9 +12,10 @@ Sets A and B link when 100 |A & B| >= percent * |A | B|.
    overlap of a set and a node is at most the sum over groups of the smaller of the set's
    count and the node's largest. Survivors are verified on the full sets, unless links
    already join them. Connected components follow.
-3. Completion (exact). Linked sets share a shingle of their first floor((1 - t) n) + 1. Where
-   such a shingle still meets two components, its sets meet in R-trees again, larger ones
-   split into a grid of bounded sub-blocks, and pairs across components are verified.
+3. Completion (exact). Linked sets share first shingles as in the screening. Where
+   such a shingle still meets two components, its sets meet in R-trees again, once for all
+   shingles of the same sets and larger ones split into a grid of bounded sub-blocks, and
+   pairs across components that share enough first shingles are verified.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from sparkloom.llm.common import cut_lineage, mix64, parts_for, set_id, shingle_
 from sparkloom.llm.components import components
 
 #: Hash groups, the coordinates of a point.
-GROUPS = 64
+GROUPS = 256
 LEAF = 16
 #: Sets that one block of the linking or the completion holds at most, on average.
 BLOCK = 512
@@ -263,7 +264,9 @@ def _sets(docs: DataFrame, alive: DataFrame, k: int) -> DataFrame:
             columns = [[sid for sid, _ in rows], [len(s) for _, s in rows], [s.tobytes() for _, s in rows], [signed(s[0]) for _, s in rows], [signed(mix64(s ^ SECOND_ORDER).min()) for _, s in rows], [group_counts(s).tobytes() for _, s in rows]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f[1]) for c, f in zip(columns, fields, strict=True)], names=[f[0] for f in fields])
 
-    return cut_lineage(keyed.mapInArrow(run, "sid long, n long, hashes binary, first long, second long, point binary"))
+    sets = cut_lineage(keyed.mapInArrow(run, "sid long, n long, hashes binary, first long, second long, point binary"))
+    rows, distinct = sets.select(F.count("sid"), F.count_distinct("sid")).first()
+    return sets if rows == distinct else cut_lineage(sets.dropDuplicates(["sid"]))
 
 
 def _points(blobs: list[bytes]) -> np.ndarray:
@@ -302,36 +305,43 @@ def _linked_in_blocks(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across_components(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """a, b, ca, cb: distinct pairs of sets of different components that may have a link."""
+    """a, b, ca, cb: distinct pairs of sets of different components that may have a link.
+
+    Of first shingles that the same sets share, one stands for all, with their number as
+    its weight; a pair with a link has at least the weight that the screening asks for.
+    """
 
     def firsts(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tables:
-            arrays = [np.frombuffer(b, np.int64)[: n * (100 - percent) // 100 + 1] for b, n in zip(t.column("hashes").to_pylist(), t.column("n").to_pylist(), strict=True)]
+            arrays = [np.frombuffer(b, np.int64)[: _firsts(n, percent)] for b, n in zip(t.column("hashes").to_pylist(), t.column("n").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([t.column("sid"), pa.array(arrays, pa.list_(pa.int64()))], names=["sid", "firsts"])
 
     labelled = sets.select("sid", "n", "hashes").mapInArrow(firsts, "sid long, firsts array<long>").join(comp, F.col("sid") == F.col("node"), "left")
     entries = labelled.select("sid", F.coalesce("root", "sid").alias("comp"), F.explode("firsts").alias("h"))
-    open_ = entries.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("h", "c")
+    open_ = entries.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("who")).where("lo <> hi")
+    open_ = open_.groupBy("lo", "hi", "c", "who").agg(F.min("h").alias("h"), F.count("*").alias("w"))
     split = F.expr(f"(c + {BLOCK - 1}) div {BLOCK}")
-    members = entries.join(open_, "h").select("h", "sid", "comp", split.alias("s"), F.pmod(F.xxhash64("sid", "h"), split).alias("own"))
+    members = entries.join(open_.select("h", "c", "w"), "h").select("h", "w", "sid", "comp", split.alias("s"), F.pmod(F.xxhash64("sid", "h"), split).alias("own"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
-    members = members.select("h", "sid", "comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
+    members = members.select("h", "w", "sid", "comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
     tasks = parts_for(sets, 2 << 20, 64)
     dealt = members.join(sets.select("sid", "n", "point"), "sid").withColumn("task", F.pmod(F.xxhash64("h", "x", "y"), F.lit(tasks)).cast("int"))
 
     def run(t: pa.Table) -> pa.Table:
-        sid, n, comps, own, x, y = (t.column(c).to_numpy() for c in ("sid", "n", "comp", "own", "x", "y"))
+        sid, n, comps, own, x, y, w = (t.column(c).to_numpy() for c in ("sid", "n", "comp", "own", "x", "y", "w"))
         points = _points(t.column("point").to_pylist())
-        found = set()
+        found: dict[tuple[int, int], list] = {}
         for at in _runs(y, x, t.column("h").to_numpy()):
             if len(at) > 1:
                 sides = own[at] if x[at[0]] != y[at[0]] else None
                 for i, j in possible_pairs(points[at], n[at], comps[at], percent, sides):
                     a, b = (at[i], at[j]) if sid[at[i]] < sid[at[j]] else (at[j], at[i])
-                    found.add((sid[a], sid[b], comps[a], comps[b]))
-        return pa.table({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("a", "b", "ca", "cb"))})
+                    found.setdefault((sid[a], sid[b]), [comps[a], comps[b], min(n[a], n[b]), 0])[3] += w[a]
+        rows = [(*k, *v) for k, v in found.items()]
+        return pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("a", "b", "ca", "cb", "n", "w"))})
 
-    return dealt.groupBy("task").applyInArrow(run, "a long, b long, ca long, cb long").distinct()
+    pairs = dealt.groupBy("task").applyInArrow(run, "a long, b long, ca long, cb long, n long, w long")
+    return pairs.groupBy("a", "b", "ca", "cb", "n").agg(F.sum("w").alias("w")).where("w >= n div 8 + 1").select("a", "b", "ca", "cb")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
