@@ -36,6 +36,11 @@ LEAF = 16
 #: Sets that one block of the linking or the completion holds at most, on average.
 BLOCK = 512
 FLUSH = 1 << 21
+#: Frequent shingles that are broadcast at most (8 bytes each).
+HOT = 1 << 20
+#: A screened entry carries this many bytes of its shingle's hash and of its set's id; chance agreement only lets sets pass.
+HASH_BYTES, TAG_BYTES = 6, 5
+TAG_MASK = (1 << 8 * TAG_BYTES) - 1
 SECOND_ORDER = np.uint64(0xA24BAED4963EE407)
 
 
@@ -43,8 +48,16 @@ SECOND_ORDER = np.uint64(0xA24BAED4963EE407)
 
 
 def group_counts(hashes: np.ndarray) -> np.ndarray:
-    """A set's point: how many of its shingles fall in each hash group."""
-    return np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+    """A set's point: how many of its shingles fall in each hash group, as bytes; 255 stands for 255 or more."""
+    counts = np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def _points(blobs: list[bytes]) -> np.ndarray:
+    """Points as rows; 255 becomes a count that no other limits, so that bounds stay upper bounds."""
+    points = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), GROUPS).astype(np.int32)
+    points[points == 255] = 1 << 22
+    return points
 
 
 class CountTree:
@@ -131,12 +144,19 @@ def _firsts(n: int, percent: int) -> int:
 
 
 def _pack(values: np.ndarray, tags: np.ndarray) -> bytes:
-    return values.astype("<u8").tobytes() + tags.astype("<i8").tobytes()
+    low = lambda x, n: np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+    return low(values, HASH_BYTES) + low(tags, TAG_BYTES)
 
 
 def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    halves = [(np.frombuffer(b, "<u8", len(b) // 16), np.frombuffer(b, "<i8", len(b) // 16, len(b) // 2)) for b in blobs]
-    return np.concatenate([h for h, _ in halves]), np.concatenate([t for _, t in halves])
+    sizes = [len(b) // (HASH_BYTES + TAG_BYTES) for b in blobs]
+    values, tags = np.zeros((sum(sizes), 8), np.uint8), np.zeros((sum(sizes), 8), np.uint8)
+    at = 0
+    for b, n in zip(blobs, sizes, strict=True):
+        values[at : at + n, :HASH_BYTES] = np.frombuffer(b, np.uint8, n * HASH_BYTES).reshape(n, -1)
+        tags[at : at + n, :TAG_BYTES] = np.frombuffer(b, np.uint8, n * TAG_BYTES, n * HASH_BYTES).reshape(n, -1)
+        at += n
+    return values.view("<u8").ravel().astype(np.uint64), tags.view("<i8").ravel().astype(np.int64)
 
 
 _SCREEN = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("sid", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
@@ -199,7 +219,7 @@ def _emit(k: int, percent: int, buckets: int):
                 if sid is not None:
                     first = s[: _firsts(len(s), percent)]
                     values.append(first)
-                    tags.append(np.full(len(first), sid, np.int64))
+                    tags.append(np.full(len(first), max(1, sid & TAG_MASK), np.int64))
                     held += len(first)
                 if held >= FLUSH:
                     yield from flush()
@@ -242,10 +262,10 @@ def _screened(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     emitted = keyed.mapInArrow(_emit(k, percent, buckets), _SCREEN_DDL)
     met = cut_lineage(emitted.groupBy("bucket").applyInArrow(_meet(buckets), _SCREEN_DDL))
     rows = met.where("key IS NOT NULL").select("doc_id", "key", "sid", "n")
-    credits = met.where("blob IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInArrow(_add_up, "sid long, credit long")
+    credits = met.where("blob IS NOT NULL").select("bucket", "blob").groupBy("bucket").applyInArrow(_add_up, "sid long, credit long").withColumnRenamed("sid", "tag")
     distinct = rows.where("sid IS NOT NULL").groupBy("sid").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.min("doc_id").alias("least"))
     need = F.expr(f"(n * {percent} + 99) div 100 div 8 + 1")
-    return rows, cut_lineage(distinct.join(credits, "sid").where(F.col("credit") >= need).select("sid", "key", "n", "least"))
+    return rows, cut_lineage(distinct.withColumn("tag", F.greatest(F.lit(1).cast("long"), F.col("sid").bitwiseAND(F.lit(TAG_MASK)))).join(credits, "tag").where(F.col("credit") >= need).select("sid", "key", "n", "least"))
 
 
 # ---------------------------------------------------------------- linking and completion
@@ -269,10 +289,6 @@ def _sets(docs: DataFrame, alive: DataFrame, k: int) -> DataFrame:
     return sets if rows == distinct else cut_lineage(sets.dropDuplicates(["sid"]))
 
 
-def _points(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.uint32).reshape(len(blobs), GROUPS)
-
-
 def _runs(*columns: np.ndarray) -> Iterator[np.ndarray]:
     """Positions of each group of rows alike in columns."""
     order = np.lexsort(columns)
@@ -298,30 +314,56 @@ def _linked_in_blocks(sets: DataFrame, percent: int) -> DataFrame:
         for at in _runs(t.column("salt").to_numpy(), t.column("k").to_numpy()):
             if len(at) > 1:
                 found = [np.frombuffer(blobs[i], np.uint64) for i in at]
-                out += [(sids[at[i]], sids[at[j]]) for i, j in spanning_links(found, np.array([group_counts(s) for s in found]), percent)]
+                out += [(sids[at[i]], sids[at[j]]) for i, j in spanning_links(found, _points([group_counts(s).tobytes() for s in found]), percent)]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return dealt.groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def _across_components(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """a, b, ca, cb: distinct pairs of sets of different components that may have a link.
-
-    Of first shingles that the same sets share, one stands for all, with their number as
-    its weight; a pair with a link has at least the weight that the screening asks for.
-    """
+def _entries(sets: DataFrame, comp: DataFrame, percent: int, hot: np.ndarray) -> DataFrame:
+    """h, sid, comp, n: the first shingles of each set in one order for all: by hash, hot ones last."""
+    shared = sets.sparkSession.sparkContext.broadcast(hot)
 
     def firsts(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = shared.value
         for t in tables:
-            arrays = [np.frombuffer(b, np.int64)[: _firsts(n, percent)] for b, n in zip(t.column("hashes").to_pylist(), t.column("n").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([t.column("sid"), pa.array(arrays, pa.list_(pa.int64()))], names=["sid", "firsts"])
+            arrays = []
+            for b, n in zip(t.column("hashes").to_pylist(), t.column("n").to_pylist(), strict=True):
+                h = np.frombuffer(b, np.int64)
+                if len(late):
+                    is_hot = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
+                    h = np.concatenate((h[~is_hot], h[is_hot]))
+                arrays.append(h[: _firsts(n, percent)])
+            yield pa.RecordBatch.from_arrays([t.column("sid"), t.column("n"), pa.array(arrays, pa.list_(pa.int64()))], names=["sid", "n", "firsts"])
 
-    labelled = sets.select("sid", "n", "hashes").mapInArrow(firsts, "sid long, firsts array<long>").join(comp, F.col("sid") == F.col("node"), "left")
-    entries = labelled.select("sid", F.coalesce("root", "sid").alias("comp"), F.explode("firsts").alias("h"))
-    open_ = entries.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("who")).where("lo <> hi")
-    open_ = open_.groupBy("lo", "hi", "c", "who").agg(F.min("h").alias("h"), F.count("*").alias("w"))
+    labelled = sets.select("sid", "n", "hashes").mapInArrow(firsts, "sid long, n long, firsts array<long>").join(comp, F.col("sid") == F.col("node"), "left")
+    return labelled.select("sid", "n", F.coalesce("root", "sid").alias("comp"), F.explode("firsts").alias("h"))
+
+
+def _open_shingles(entries: DataFrame) -> DataFrame:
+    """What each first shingle that meets two components gathers: counts and extremes, no lists."""
+    every = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("sid")).alias("who"), F.min("sid").alias("a"), F.max("sid").alias("b"), F.min("n").alias("n")]
+    return cut_lineage(entries.groupBy("h").agg(*every).where("lo <> hi"))
+
+
+def _across_components(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """a, b: distinct pairs of sets of different components that may have a link.
+
+    Shingles that gather more than a block go last in the order of first shingles (the
+    HOT most frequent of them: which ones changes the cost, not the result). Of first
+    shingles that the same sets share, one stands for all, with their number as its
+    weight; a pair with a link has at least the weight that the screening asks for.
+    """
+    entries = _entries(sets, comp, percent, np.zeros(0, np.int64))
+    open_ = _open_shingles(entries)
+    hot = open_.where(f"c > {BLOCK}").orderBy(F.desc("c"), "h").limit(HOT).select("h").toPandas()["h"].to_numpy(np.int64)
+    if len(hot):
+        entries = _entries(sets, comp, percent, np.sort(hot))
+        open_ = _open_shingles(entries)
+    once = cut_lineage(open_.groupBy("lo", "hi", "c", "who", "a", "b", "n").agg(F.min("h").alias("h"), F.count("*").alias("w")))
+    two = once.where("c = 2").select("a", "b", "n", "w")
     split = F.expr(f"(c + {BLOCK - 1}) div {BLOCK}")
-    members = entries.join(open_.select("h", "c", "w"), "h").select("h", "w", "sid", "comp", split.alias("s"), F.pmod(F.xxhash64("sid", "h"), split).alias("own"))
+    members = entries.join(once.where("c > 2").select("h", "c", "w"), "h").select("h", "w", "sid", "comp", split.alias("s"), F.pmod(F.xxhash64("sid", "h"), split).alias("own"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
     members = members.select("h", "w", "sid", "comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
     tasks = parts_for(sets, 2 << 20, 64)
@@ -336,25 +378,32 @@ def _across_components(sets: DataFrame, comp: DataFrame, percent: int) -> DataFr
                 sides = own[at] if x[at[0]] != y[at[0]] else None
                 for i, j in possible_pairs(points[at], n[at], comps[at], percent, sides):
                     a, b = (at[i], at[j]) if sid[at[i]] < sid[at[j]] else (at[j], at[i])
-                    found.setdefault((sid[a], sid[b]), [comps[a], comps[b], min(n[a], n[b]), 0])[3] += w[a]
+                    found.setdefault((sid[a], sid[b]), [min(n[a], n[b]), 0])[1] += w[a]
         rows = [(*k, *v) for k, v in found.items()]
-        return pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("a", "b", "ca", "cb", "n", "w"))})
+        return pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("a", "b", "n", "w"))})
 
-    pairs = dealt.groupBy("task").applyInArrow(run, "a long, b long, ca long, cb long, n long, w long")
-    return pairs.groupBy("a", "b", "ca", "cb", "n").agg(F.sum("w").alias("w")).where("w >= n div 8 + 1").select("a", "b", "ca", "cb")
+    pairs = two.unionByName(dealt.groupBy("task").applyInArrow(run, "a long, b long, n long, w long"))
+    return pairs.groupBy("a", "b").agg(F.sum("w").alias("w"), F.min("n").alias("n")).where("w >= n div 8 + 1").select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: the components of the pairs whose full sets link."""
+    """The pairs whose points admit a link and whose full sets have it."""
+
+    def bounded(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in tables:
+            shared = np.minimum(_points(t.column("pa").to_pylist()), _points(t.column("pb").to_pylist())).sum(axis=1, dtype=np.int64)
+            ok = (100 + percent) * shared >= percent * (t.column("na").to_numpy() + t.column("nb").to_numpy())
+            yield t.select(["a", "b"]).filter(pa.array(ok))
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tables:
             ok = [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(t.column("ha").to_pylist(), t.column("hb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([t.column("ca"), t.column("cb")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    with_a = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("ha")), "a")
-    both = with_a.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("hb")), "b")
-    return both.select("ca", "cb", "ha", "hb").mapInArrow(run, "a long, b long")
+    side = lambda x, column, short: sets.select(F.col("sid").alias(x), F.col(column).alias(short + x), F.col("n").alias("n" + x))
+    near = pairs.join(side("a", "point", "p"), "a").join(side("b", "point", "p"), "b").mapInArrow(bounded, "a long, b long")
+    both = near.join(side("a", "hashes", "h").drop("na"), "a").join(side("b", "hashes", "h").drop("nb"), "b")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def labelled_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -362,7 +411,10 @@ def labelled_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     rows, alive = _screened(docs, k, percent)
     sets = _sets(docs, alive, k)
     first = components(_linked_in_blocks(sets, percent))
-    second = components(_verified(_across_components(sets, first, percent), sets, percent))
+    more = _verified(_across_components(sets, first, percent), sets, percent)
+    root = lambda x: first.select(F.col("node").alias(x), F.col("root").alias("r" + x))
+    more = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    second = components(more)
     label = alive.select("sid", "least").join(first, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("root", "sid").alias("c"))
     label = cut_lineage(label.join(second, F.col("c") == F.col("node"), "left").select("sid", "least", F.coalesce("root", "c").alias("c")))
     named = label.join(label.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("sid", "c", "component_id")
