@@ -1,0 +1,53 @@
+"""Cutting texts and chats into atoms: gaps and islands over positions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def paragraphs(texts: DataFrame, separator: str = r"\n(?:[ \t]*\n)+") -> DataFrame:
+    """id, position, text: non-empty trimmed pieces between separators."""
+    pieces = F.split(F.regexp_replace("text", r"\r\n?", "\n"), separator)
+    trimmed = F.filter(F.transform(pieces, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    return texts.select("id", F.posexplode(trimmed).alias("position", "text"))
+
+
+def merge_short(blocks: DataFrame, least: int = 10) -> DataFrame:
+    """Runs of short blocks become one block, placed before the next long one."""
+    w = Window.partitionBy("id").orderBy("position")
+    long_ = F.length("text") >= least
+    turn = F.when(long_ | F.coalesce(F.lag(long_).over(w), F.lit(True)), 1).otherwise(0)
+    runs = blocks.withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(w))
+    whole = runs.groupBy("id", "_run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda p: p["text"]), "\n").alias("text"))
+    return whole.select("id", (F.col("_run") - 1).alias("position"), "text")
+
+
+def question_answers(turns: DataFrame) -> DataFrame:
+    """conv_id, pair, question, answer: a user turn opens a pair once the open one has both sides.
+
+    Roles other than user and assistant are skipped; several turns of one side are joined
+    by an empty line.
+    """
+    kept = turns.where(F.col("role").isin("user", "assistant"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    is_user = F.col("role") == "user"
+    last, first = F.lag("role").over(w), F.first("role").over(w)
+    users = F.coalesce(F.sum(F.when(is_user, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a pair that starts with an assistant turn has both sides from its first user turn on
+    opens = F.when(is_user & (((last == "assistant") & (users > 0)) | ((first == "assistant") & (users == 1))), 1).otherwise(0)
+    paired = kept.withColumn("_open", opens).withColumn("pair", F.sum("_open").over(w))
+    side = lambda r: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("turn", "text")))), lambda p: p["text"]), "\n\n")
+    return paired.groupBy("conv_id", "pair").agg(side("user").alias("question"), side("assistant").alias("answer"))
+
+
+def chain(rows: DataFrame, file: str, order: str, node: str) -> DataFrame:
+    """src, dst: each row to the next of its file."""
+    nxt = F.lead(node).over(Window.partitionBy(file).orderBy(order, node))
+    return rows.select(F.col(node).alias("src"), nxt.alias("dst")).where("dst IS NOT NULL")
+
+
+def lineage(rows: DataFrame, file: str, order: str, node: str, reach: int = 4) -> DataFrame:
+    """node, before, after: up to `reach` neighbours on each side, in order."""
+    w = Window.partitionBy(file).orderBy(order, node)
+    return rows.select(node, F.collect_list(node).over(w.rowsBetween(-reach, -1)).alias("before"), F.collect_list(node).over(w.rowsBetween(1, reach)).alias("after"))
