@@ -129,7 +129,9 @@ def _slots(spark, sources: DataFrame, n_sources: int, total: int, seed: int, sha
     drawn = sources.select("src", "slots").join(granted.groupBy("src").agg(F.sum("n").alias("before")), "src", "left").withColumn("before", F.coalesce("before", F.lit(0)))
     rest = drawn.withColumn("lot", F.explode(F.expr(f"CASE WHEN slots > before THEN sequence(0, (slots - before - 1) div {shard_slots}) END")))
     closing = rest.select("src", (F.lit(-(-total // shard_slots)) + F.col("lot")).alias("shard"), (F.col("before") + F.col("lot") * shard_slots).alias("before"), F.least(F.lit(shard_slots), F.col("slots") - F.col("before") - F.col("lot") * shard_slots).alias("n"))
-    each = granted.unionByName(closing).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    # a source's grants come from one window; its slots are dealt out before they are made
+    dealt = granted.unionByName(closing).repartition(max(16, total // 50_000), "src", "shard")
+    each = dealt.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     each = _with_sources(each, sources.select("src", "blocks", "slots", "cut"), n_sources, "src").withColumn("nth", F.col("before") + F.col("slot"))
     return each.select("src", "shard", "slot", F.expr("nth div blocks").alias("epoch"), F.expr("nth % blocks").alias("place"), "blocks", F.when((F.col("nth") == F.col("slots") - 1) & (F.expr("slots % blocks") != 0), F.col("cut")).otherwise(F.lit(1 << 40)).alias("words"))
 
