@@ -103,6 +103,8 @@ class ExampleIndex:
             words, bounds, *_ = hashed_words(texts[lo:hi], ALNUM)
             at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
             hit = np.flatnonzero(self.hashes[at] == words)
+            if not len(hit):
+                continue
             owner = np.searchsorted(bounds, hit, "right") - 1
             keys, counts = np.unique(owner * len(self.terms) + self.order[at[hit]], return_counts=True)
             owner, term = keys // len(self.terms), keys % len(self.terms)
