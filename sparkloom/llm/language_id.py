@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import batches
+from sparkloom.llm.common import batches, cut_lineage
 
 #: Whole training texts of one language, those of least hash; bounds the model.
 TEXTS_PER_LANGUAGE = 400
+#: Ids of chosen texts that are broadcast at most; with more languages they are joined.
+BROADCAST_IDS = 200_000
 ORDER = 3
 #: Byte classes: the 63 most frequent bytes of the sample and one for all others, which pay for their identity.
 CLASSES = 64
@@ -122,12 +124,14 @@ def _bits(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
 def fit_languages(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> ContextTrees:
     """Context trees from at most per_language whole texts of each value of lang.
 
-    Only the gram counts of that bounded sample come to the driver. Rows of null text or
-    null lang teach nothing.
+    The texts are chosen by id alone and only then fetched; only the gram counts of that
+    bounded sample come to the driver. Rows of null text, lang or doc_id teach nothing.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
-    ids = known.select("lang", "text", rank.alias("r")).where(F.col("r") <= per_language).select("lang", "text")
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = cut_lineage(known.select("lang", "doc_id", rank.alias("r")).where(F.col("r") <= per_language).select("lang", "doc_id").distinct())
+    small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = known.join(small, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
     def count(t: pa.Table) -> pa.Table:
         total: dict[int, int] = {}
@@ -136,7 +140,7 @@ def fit_languages(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> Co
                 total[g] = total.get(g, 0) + n
         return pa.table({"lang": pa.array([t.column("lang")[0].as_py()] * len(total), pa.string()), "gram": pa.array(total.keys(), pa.int64()), "n": pa.array(total.values(), pa.int64())})
 
-    return ContextTrees(ids.groupBy("lang").applyInArrow(count, "lang string, gram long, n long").toPandas())
+    return ContextTrees(texts.groupBy("lang").applyInArrow(count, "lang string, gram long, n long").toPandas())
 
 
 def identify(docs: DataFrame, model: ContextTrees) -> DataFrame:
