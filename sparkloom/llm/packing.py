@@ -55,6 +55,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
     gives none.
     """
     sized = docs.where(F.col("size") > 0).select("doc_id", F.col("size").cast("long").alias("size"), "source", "cluster")
+    sized = cut_lineage(sized)
     groups = max(1, sized.count() // group)
     sized = sized.withColumn("g", F.pmod(F.xxhash64("doc_id", "size"), F.lit(groups)).cast("int"))
 
