@@ -33,8 +33,10 @@ from sparkloom.llm.components import components
 #: Hash groups, the coordinates of a point.
 GROUPS = 256
 LEAF = 16
-#: Sets that one block of the linking or the completion holds at most, on average.
+#: Sets that one block of the linking holds at most, on average; a shingle of more is hot in the completion.
 BLOCK = 512
+#: Sets of one side of the completion's grid.
+SIDE = 4096
 FLUSH = 1 << 21
 #: Frequent shingles that are broadcast at most (8 bytes each).
 HOT = 1 << 20
@@ -362,7 +364,7 @@ def _across_components(sets: DataFrame, comp: DataFrame, percent: int) -> DataFr
         open_ = _open_shingles(entries)
     once = cut_lineage(open_.groupBy("lo", "hi", "c", "who", "a", "b", "n").agg(F.min("h").alias("h"), F.count("*").alias("w")))
     two = once.where("c = 2").select("a", "b", "n", "w")
-    split = F.expr(f"(c + {BLOCK - 1}) div {BLOCK}")
+    split = F.expr(f"(c + {SIDE - 1}) div {SIDE}")
     members = entries.join(once.where("c > 2").select("h", "c", "w"), "h").select("h", "w", "sid", "comp", split.alias("s"), F.pmod(F.xxhash64("sid", "h"), split).alias("own"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)))
     members = members.select("h", "w", "sid", "comp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
