@@ -10,10 +10,10 @@ from sparkloom.llm.queries import packing_input
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated toxicity stays below one half."""
+    """Documents whose calibrated toxicity stays below one half, and those that no example speaks against."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit_toxicity(docs, labels)
-    return toxicity.score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.score_toxicity(docs, model).where("predicted = 0 OR size(evidence) = 0").select(*docs.columns)
 
 
 def drop_undetermined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
