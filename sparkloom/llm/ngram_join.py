@@ -75,11 +75,21 @@ class CountTree:
             starts = np.arange(0, len(top), LEAF)
             self.levels.append((np.maximum.reduceat(top, starts, axis=0), np.minimum.reduceat(size, starts)))
 
-    def search(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Positions whose bound on the overlap admits a link to a set of this point and size."""
+    def search(self, point: np.ndarray, size: int, percent: int, before: int | None = None, comps: np.ndarray | None = None, own: int = 0) -> np.ndarray:
+        """Positions below before whose bound on the overlap admits a link to a set of this point and size.
+
+        Points are in order of size, so too small sets are a prefix; with comps, sets of
+        component own are left out before their bounds are taken.
+        """
+        before = len(self.levels[0][0]) if before is None else before
+        start = int(np.searchsorted(self.levels[0][1], -(-percent * size // 100)))
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, least = self.levels[depth]
+            span = LEAF**depth
+            at = at[(at * span < before) & ((at + 1) * span > start)]
+            if not depth and comps is not None:
+                at = at[comps[at] != own]
             bound = np.minimum(top[at], point).sum(axis=1, dtype=np.int64)
             at = at[(100 + percent) * bound >= percent * (least[at] + size)]
             if depth:
@@ -104,8 +114,7 @@ def spanning_links(sets: list[np.ndarray], points: np.ndarray, percent: int) ->
     root = np.arange(len(sets))
     out = []
     for p, i in enumerate(order):
-        near = tree.search(points[i], int(sizes[i]), percent)
-        near = order[near[near < p]]
+        near = order[tree.search(points[i], int(sizes[i]), percent, p, root[order], root[i])]
         while len(near := near[root[near] != root[i]]):
             j, near = near[0], near[1:]
             if linked(sets[i], sets[j], percent):
@@ -122,10 +131,9 @@ def possible_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, per
         return
     order = np.argsort(sizes, kind="stable")
     tree = CountTree(points[order], sizes[order])
+    placed = comps[order]
     for p, i in enumerate(order):
-        near = tree.search(points[i], int(sizes[i]), percent)
-        near = order[near[near < p]]
-        near = near[comps[near] != comps[i]]
+        near = order[tree.search(points[i], int(sizes[i]), percent, p, placed, comps[i])]
         if sides is not None:
             near = near[sides[near] != sides[i]]
         for j in near:
