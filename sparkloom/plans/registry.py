@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions import vectors as V
-from sparkloom.operators import context, graph, relations, search, segmentation, selection, sync
+from sparkloom.operators import context, graph, relations, search, segmentation, selection, spaces, sync
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -99,6 +99,42 @@ def _knn(spark, d, k=20):
     return search.nearest(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "v"), k)
 
 
+#: An adapter from 64 numbers to 8, by rule.
+ADAPTER = [[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(8)] for i in range(64)]
+
+
+@query(f"""WITH {_VEC}, y AS (SELECT id, list_transform(range(0, 8), lambda j: list_sum(list_transform(range(0, 64), lambda i: v[i + 1] * (((i * 7 + j * 3) % 11 - 5) / 10)))) AS y FROM v WHERE len(v) = 64),
+p AS (SELECT id, unnest(y) AS x, unnest(range(1, 9)) AS i, sqrt(list_dot_product(y, y)) AS length FROM y)
+SELECT id, i::INTEGER AS i, round(x / length, 6) + 0.0 AS x FROM p""")
+def adapt_vectors(spark, d):
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return spaces.carry(v, ADAPTER).select("id", F.posexplode("carried").alias("i", "x")).select("id", (F.col("i") + 1).alias("i"), "x")
+
+
+@query(f"""WITH {_KNN}, h AS (SELECT id, v[1:32] AS v FROM v), hs AS (SELECT a.id AS query_id, b.id, round({_SIM}, 6) AS score FROM h a JOIN h b ON a.id <> b.id WHERE a.id % 100 = 0),
+hk AS (SELECT query_id, id FROM hs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10)
+SELECT query_id, count(hk.id) AS shared, round(count(hk.id) / 10, 6) AS overlap FROM knn LEFT JOIN hk USING (query_id, id) WHERE rank <= 10 GROUP BY query_id""")
+def space_overlap(spark, d):
+    """The space of all 64 numbers against that of the first 32."""
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 32).alias("v"))
+    half = search.nearest(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "v"), 10)
+    return spaces.neighbour_overlap(_knn(spark, d, 10), half, 10)
+
+
+@query("""WITH ready AS (SELECT n_name FROM nation WHERE n_nationkey % 3 = 0),
+usable AS (SELECT t.n_name AS space, s.n_name AS source, s_suppkey FROM supplier JOIN nation s ON s.n_nationkey = s_nationkey JOIN nation t ON t.n_nationkey = s_suppkey % 19 WHERE s.n_name IN (FROM ready)),
+first AS (SELECT space, source FROM usable QUALIFY row_number() OVER (PARTITION BY space ORDER BY s_suppkey, source) = 1)
+SELECT n_nationkey AS position, n_name AS space, CASE WHEN n_name IN (FROM ready) THEN 'direct' ELSE 'adapter' END AS how,
+CASE WHEN n_name IN (FROM ready) THEN n_name ELSE first.source END AS source
+FROM nation LEFT JOIN first ON first.space = n_name WHERE n_name IN (FROM ready) OR first.source IS NOT NULL""")
+def space_routes(spark, d):
+    """Nations stand for spaces, every third one ready; suppliers for adapters."""
+    nation = _t(spark, d, "nation").select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("space"))
+    source, target = nation.select(F.col("position").alias("s_nationkey"), F.col("space").alias("source")), nation.select(F.col("position").alias("t"), F.col("space").alias("target"))
+    adapters = _t(spark, d, "supplier").withColumn("t", F.col("s_suppkey") % 19).join(source, "s_nationkey").join(target, "t").select(F.col("s_suppkey").alias("position"), "source", "target")
+    return spaces.plan_routes(nation, nation.where("position % 3 = 0"), adapters)
+
+
 @query(f"WITH {_KNN} SELECT * FROM knn")
 def knn_cosine(spark, d):
     return _knn(spark, d)
