@@ -9,81 +9,163 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import ALNUM, batches, cut_lineage, hashed_words
+from sparkloom.llm.common import ALNUM, batches, hashed_words
 
 #: Labelled examples of each class at most, those of least hash; bounds the model.
 EXAMPLES = 2000
-#: Terms at most: those of the examples that go most clearly with one class (chi-square, at least LEAST_CHI2).
-TERMS = 512
-LEAST_CHI2 = 30.0
 NEIGHBOURS = 15
 BLOCK = 64
+#: A term of at least one in so many examples is kept dense.
+DENSE = 16
+#: Texts that are searched at once.
+TEXTS = 128
 #: Weight of the no-evidence rate among the votes, where a nearest possible neighbour weighs 1.
 PRIOR = 0.0025
 
 
+class Postings:
+    """A sparse matrix of terms by examples, stored by term; `weights @ postings` scores every example.
+
+    A term of at least one in DENSE examples has its values side by side, a row in each
+    block, so that many texts meet a block in one product of matrices.
+    """
+
+    __array_ufunc__ = None
+
+    def __init__(self, term: np.ndarray, position: np.ndarray, value: np.ndarray, n_terms: int, n: int):
+        self.n, self.blocks = n, -(-n // BLOCK)
+        frequent = np.flatnonzero(np.bincount(term, minlength=n_terms) * DENSE >= max(n, 1))
+        self.row = np.full(n_terms, -1)
+        self.row[frequent] = np.arange(len(frequent))
+        full = self.row[term] >= 0
+        self.rows = np.zeros((self.blocks, len(frequent), BLOCK))
+        self.rows[position[full] // BLOCK, self.row[term[full]], position[full] % BLOCK] = value[full]
+        self.rows_most = self.rows.max(axis=2).T.copy()
+        order = np.lexsort((position[~full], term[~full]))
+        self.position, self.value = position[~full][order], value[~full][order]
+        self.starts = np.searchsorted(term[~full][order], np.arange(n_terms + 1))
+
+    def split(self, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(weights of the frequent terms by text, scores from the other terms by text, block and place)."""
+        row = self.row[terms]
+        full = row >= 0
+        heavy = np.zeros((texts, self.rows.shape[1]))
+        heavy[owner[full], row[full]] = weights[full]
+        at, n = _ranges(self.starts[terms], self.starts[terms + 1])
+        width = self.blocks * BLOCK
+        light = np.bincount(np.repeat(owner * width, n) + self.position[at], np.repeat(weights, n) * self.value[at], texts * width)
+        return heavy, light.astype(np.float64, copy=False).reshape(texts, self.blocks, BLOCK)
+
+    def __rmatmul__(self, weights: np.ndarray) -> np.ndarray:
+        heavy, light = self.split(np.zeros(len(weights), np.int64), np.arange(len(weights)), weights, 1)
+        return (light[0] + heavy[0] @ self.rows).ravel()[: self.n]
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the indexes lo[i] .. hi[i] - 1 of every i in turn, how many each i has)."""
+    n = hi - lo
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - ends + n, n), n
+
+
 class ExampleIndex:
-    """Postings of unit TF-IDF vectors by term and block, with the block maxima that bound scores."""
-
-    def __init__(self, terms: list[str], df: np.ndarray, rows: list[tuple[int | None, int, dict[str, int]]], rates: tuple[float, float]):
-        """rows: (doc_id, toxic, term counts) of each example; rates: rows that an example of class 0 or 1 stands for."""
-        n = max(1, len(rows))
-        self.terms = terms
-        hashes = hashed_words([t.encode() for t in terms], ALNUM)[0] if terms else np.zeros(0, np.uint64)
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-        self.idf = np.log((1 + n) / (1 + df)) + 1
-        at = {t: i for i, t in enumerate(terms)}
-        vectors = np.zeros((len(rows), len(terms)))
-        for i, (_, _, counts) in enumerate(rows):
-            for t, c in counts.items():
-                vectors[i, at[t]] = (1 + np.log(c)) * self.idf[at[t]]
-        norms = np.linalg.norm(vectors, axis=1)
-        self.toxic = np.array([t for _, t, _ in rows], np.int64)
-        self.ids = np.array([d if d is not None else -1 for d, _, _ in rows], np.int64)
-        self.weight = np.asarray(rates)[self.toxic] if len(rows) else np.zeros(0)
+    """Postings of the examples' unit vectors over every term they have, with block maxima.
+
+    A term weighs (1 + log tf) * idf * phi, where phi = sqrt(chi-square / examples), from 0 to
+    1, is how clearly the term goes with one class. phi does not depend on the number of
+    examples and leaves no term out that goes with a class at all; with examples of one class
+    only, where no term can, it is 1.
+    """
+
+    def __init__(self, rows: list[tuple[int | None, int, np.ndarray, np.ndarray]], rates: tuple[float, float]):
+        """rows: (doc_id, toxic, term hashes, term counts) of each example; rates: rows that an example of class 0 or 1 stands for."""
+        n = len(rows)
+        toxic = np.array([t for _, t, *_ in rows], np.int64)
+        ids = np.array([d if d is not None else -1 for d, *_ in rows], np.int64)
+        owner = np.repeat(np.arange(n), [len(h) for *_, h, _ in rows])
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(h for *_, h, _ in rows)])
+        counts = np.concatenate([np.zeros(0, np.int64), *(c for *_, c in rows)])
+        self.terms, term = np.unique(hashes, return_inverse=True)
+        df = np.bincount(term, minlength=len(self.terms)).astype(np.float64)
+        a = np.bincount(term, toxic[owner], len(self.terms))
+        n1 = float(toxic.sum())
+        n0, rest = n - n1, n - df
+        phi = np.abs(a * n0 - (df - a) * n1) / np.sqrt(np.maximum(1.0, n1 * n0 * df * rest)) if n1 and n0 else np.ones(len(df))
+        self.factor = (np.log((1 + n) / (1 + df)) + 1) * phi
+        value = (1 + np.log(counts)) * self.factor[term]
+        norms = np.sqrt(np.bincount(owner, value**2, n))
+        weight = np.asarray(rates)[toxic] if n else np.zeros(0)
         some = norms > 0
-        none = ~some
-        self.silent = _rate(self.toxic[none], self.weight[none], _rate(self.toxic, self.weight, 0.0))
+        self.silent = _rate(toxic[~some], weight[~some], _rate(toxic, weight, 0.0))
         # alike examples side by side, so that blocks differ in their maxima
-        first = np.where(some, vectors.argmax(1) if len(terms) else 0, len(terms))
-        index = np.lexsort((self.ids, self.toxic, first))
+        first = np.full(n, -1)
+        by_weight = np.lexsort((value, owner))
+        last = np.flatnonzero(np.diff(owner[by_weight], append=n))
+        first[owner[by_weight][last]] = term[by_weight][last]
+        index = np.lexsort((ids, first, toxic))
         index = index[some[index]]
-        self.postings = (vectors[index] / norms[index, None]).T.copy()
-        self.toxic, self.ids, self.weight = self.toxic[index], self.ids[index], self.weight[index]
-        self.starts = np.arange(0, len(index), BLOCK)
-        self.most = np.maximum.reduceat(self.postings, self.starts, axis=1) if len(index) else np.zeros((len(terms), 0))
+        self.toxic, self.ids, self.weight = toxic[index], ids[index], weight[index]
+        place = np.full(n, -1)
+        place[index] = np.arange(len(index))
+        kept = some[owner] & (value > 0)
+        position, term, value = place[owner[kept]], term[kept], value[kept] / norms[owner[kept]]
+        self.postings = Postings(term, position, value, len(self.terms), len(index))
         self.knots, self.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        self._calibrate()
+        order = np.lexsort((term, position))
+        self._calibrate(position[order], term[order], value[order])
 
     def search(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(positions, similarities) of the nearest examples, exactly; ties to the smaller position."""
-        bound = weights @ self.most[terms]
-        found, scores, edge = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(found) >= NEIGHBOURS and bound[b] < edge - 1e-12:
-                break
-            lo = self.starts[b]
-            s = weights @ self.postings[terms, lo : lo + BLOCK]
-            near = np.flatnonzero((s > 0) & (s >= edge))
-            near = near[near + lo != skip]
-            found, scores = np.concatenate((found, near + lo)), np.concatenate((scores, s[near]))
-            if len(found) > NEIGHBOURS:
-                best = np.lexsort((found, -scores.round(12)))[:NEIGHBOURS]
-                found, scores = found[best], scores[best]
-            if len(found) == NEIGHBOURS:
-                edge = scores.min() - 1e-12
-        return found, scores
+        return self.search_all(np.zeros(len(terms), np.int64), terms, weights, [skip])[0]
+
+    def search_all(self, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, skips: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """search for texts 0, 1, ..., one for each of skips; owner is the text of each term, in order.
+
+        A block's bound is its best score from the rarer terms plus what the frequent terms'
+        block maxima allow. Each text meets its block of highest bound first; a block is left
+        out for the texts that have NEIGHBOURS examples above its bound.
+        """
+        p, texts = self.postings, len(skips)
+        if not p.n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * texts
+        heavy, scores = p.split(owner, terms, weights, texts)
+        bound = scores.max(axis=2) + heavy @ p.rows_most
+        best = bound.argmax(axis=1)
+        edge = np.zeros(texts)
+        for first in (True, False):
+            for b in range(p.blocks):
+                now = np.flatnonzero(best == b if first else (best != b) & (bound[:, b] > 0) & (bound[:, b] >= edge - 1e-11))
+                scores[now, b] += heavy[now] @ p.rows[b]
+                if not first:
+                    scores[np.setdiff1d(np.flatnonzero(best != b), now, assume_unique=True), b] = 0
+            if first:  # one more than needed, as the text's own example may be among them
+                edge = np.partition(scores[np.arange(texts), best], BLOCK - NEIGHBOURS - 1, axis=1)[:, BLOCK - NEIGHBOURS - 1]
+        out = []
+        for s, low, skip in zip(scores.reshape(texts, -1), edge, skips, strict=True):
+            near = np.flatnonzero((s > 0) & (s >= low - 1e-11))
+            near = near[near != skip]
+            value = s[near].round(12)
+            order = np.lexsort((near, -value))[:NEIGHBOURS]
+            out.append((near[order], value[order]))
+        return out
+
+    def _search_batches(self, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, skip_own: bool = False) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+        """(text, its search) of each text that has terms; owner does not fall."""
+        own, group = np.unique(owner, return_inverse=True)
+        cuts = np.searchsorted(group, np.arange(0, len(own) + TEXTS, TEXTS))
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            mine = own[k * TEXTS : (k + 1) * TEXTS].tolist()
+            yield from zip(mine, self.search_all(group[a:b] - k * TEXTS, terms[a:b], weights[a:b], mine if skip_own else [-1] * len(mine)), strict=True)
 
     def vote(self, found: np.ndarray, scores: np.ndarray) -> float:
         w = scores**2 * self.weight[found] / max(self.weight.max(initial=0.0), 1e-300)
         return float((w @ self.toxic[found] + PRIOR * self.silent) / (w.sum() + PRIOR))
 
-    def _calibrate(self) -> None:
+    def _calibrate(self, owner: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
         """Isotonic fit of leave-one-out votes to labels, each example weighed by what it stands for."""
         if not len(self.ids):
             return
-        raw = np.array([self.vote(*self.search(t := np.flatnonzero(self.postings[:, i]), self.postings[t, i], i)) for i in range(len(self.ids))])
+        raw = np.array([self.vote(*f) for _, f in self._search_batches(owner, term, value, True)])
         order = np.argsort(raw, kind="stable")
         pools: list[list[float]] = []  # weight, weighted label, weighted vote
         for x, y, w in zip(raw[order], self.toxic[order], self.weight[order], strict=True):
@@ -100,25 +182,25 @@ class ExampleIndex:
         if not len(self.ids):
             return out
         for lo, hi in batches([len(t) for t in texts]):
-            words, bounds, *_ = hashed_words(texts[lo:hi], ALNUM)
-            at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-            hit = np.flatnonzero(self.hashes[at] == words)
+            words, bounds, starts, ends, joined = hashed_words(texts[lo:hi], ALNUM)
+            at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
+            hit = np.flatnonzero((self.terms[at] == words) & (self.factor[at] > 0))
             if not len(hit):
                 continue
             owner = np.searchsorted(bounds, hit, "right") - 1
-            keys, counts = np.unique(owner * len(self.terms) + self.order[at[hit]], return_counts=True)
-            owner, term = keys // len(self.terms), keys % len(self.terms)
-            weights = (1 + np.log(counts)) * self.idf[term]
-            cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(owner)], strict=True):
-                w = weights[a:b] / np.linalg.norm(weights[a:b])
-                found, scores = self.search(term[a:b], w)
+            keys, seen, counts = np.unique(owner * len(self.terms) + at[hit], return_index=True, return_counts=True)
+            owner, term, seen = keys // len(self.terms), keys % len(self.terms), hit[seen]
+            weights = (1 + np.log(counts)) * self.factor[term]
+            weights /= np.sqrt(np.bincount(owner, weights**2))[owner]
+            cuts = np.searchsorted(owner, np.arange(hi - lo + 1))
+            for i, (found, scores) in self._search_batches(owner, term, weights):
                 if not len(found):
                     continue
                 calibrated = float(np.interp(self.vote(found, scores), self.knots, self.values))
-                near = np.lexsort((found, -scores.round(12)))[:3]
-                heavy = term[a:b][np.argsort(-w, kind="stable")[:5]]
-                out[lo + int(owner[a])] = calibrated, [(int(self.ids[found[i]]), int(self.toxic[found[i]]), float(scores[i])) for i in near], [self.terms[t] for t in heavy]
+                a, b = cuts[i], cuts[i + 1]
+                heavy = seen[a:b][np.argsort(-weights[a:b], kind="stable")[:5]]
+                near = [(int(self.ids[f]), int(self.toxic[f]), float(s)) for f, s in zip(found[:3], scores[:3], strict=True)]
+                out[lo + i] = calibrated, near, [joined[starts[t] : ends[t]].tobytes().lower().decode(errors="replace") for t in heavy]
         return out
 
 
@@ -126,27 +208,18 @@ def _rate(toxic: np.ndarray, weight: np.ndarray, default: float) -> float:
     return float(toxic @ weight / weight.sum()) if len(toxic) and weight.sum() > 0 else default
 
 
-def term_counts(texts: list[bytes]) -> list[dict[str, int]]:
-    """Lower-cased (A-Z) words of ASCII letters, digits and non-ASCII characters of each text, with counts."""
-    out = []
-    for t in texts:
-        _, _, starts, ends, joined = hashed_words([t], ALNUM)
-        low = joined.tobytes().lower()
-        counts: dict[str, int] = {}
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            w = low[s:e].decode(errors="replace")
-            counts[w] = counts.get(w, 0) + 1
-        out.append(counts)
-    return out
+def term_counts(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, counts) of each text's lower-cased (A-Z) words of ASCII letters, digits and non-ASCII characters."""
+    return [np.unique(hashed_words([t], ALNUM)[0], return_counts=True) for t in texts]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> ExampleIndex:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> ExampleIndex:
     """The index of at most `examples` labelled documents of each class.
 
-    The examples are those of least hash of their id, whole texts; a document of several
-    labels is toxic if one says so. Null ids, labels and texts teach nothing. The chosen
-    ids, at most twice `examples`, are broadcast to find the texts; terms are counted on
-    the executors and only the chosen ones' counts come to the driver.
+    The examples are those of least hash of their id, whole texts with all their terms; a
+    document of several labels is toxic if one says so. Null ids, labels and texts teach
+    nothing. The chosen ids, at most twice `examples`, are broadcast to find the texts; terms
+    are counted on the executors and travel to the driver as 16 bytes a term of an example.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
@@ -156,24 +229,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, t
     def count(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in tables:
             counts = term_counts(t.column("text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("toxic"), pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int64()))], names=["doc_id", "toxic", "counts"])
+            columns = [pa.array([c[k].tobytes() for c in counts], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("toxic"), *columns], names=["doc_id", "toxic", "hashes", "counts"])
 
-    counted = cut_lineage(rows.mapInArrow(count, "doc_id long, toxic int, counts map<string,bigint>"))
+    counted = rows.mapInArrow(count, "doc_id long, toxic int, hashes binary, counts binary").collect()
     population = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    sample = {r.toxic: r.n for r in counted.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sample.get(1, 0), sample.get(0, 0)
-    by_term = counted.select("toxic", F.explode("counts").alias("term", "tf")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("df"))
-    a, b = F.col("a").cast("double"), (F.col("df") - F.col("a")).cast("double")
-    n = F.lit(float(n1 + n0))
-    chi2 = n * F.pow(a * F.lit(float(n0)) - b * F.lit(float(n1)), 2) / F.greatest(F.lit(1.0), F.lit(float(n1)) * n0 * (a + b) * (n - a - b))
-    top = by_term.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (F.col("df") >= 3)).orderBy(F.desc("chi2"), "term").limit(terms).collect()
-    names = sorted(r.term for r in top)
-    df = {r.term: r.df for r in top}
-    wanted = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
-    picked = counted.select("doc_id", "toxic", F.map_filter("counts", lambda k, _: F.array_contains(wanted, k)).alias("counts")).collect()
-    rows_ = sorted(((r.doc_id, r.toxic, r.counts) for r in picked), key=lambda r: (r[0], r[1]))
-    rates = tuple(population.get(y, 0) / max(1, sample.get(y, 0)) for y in (0, 1))
-    return ExampleIndex(names, np.array([df[t] for t in names], np.float64), rows_, rates)
+    rows_ = sorted(((r.doc_id, r.toxic, np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.counts, np.int64)) for r in counted), key=lambda r: r[:2])
+    rates = tuple(population.get(y, 0) / max(1, sum(r[1] == y for r in rows_)) for y in (0, 1))
+    return ExampleIndex(rows_, rates)
 
 
 def score_toxicity(docs: DataFrame, model: ExampleIndex) -> DataFrame:

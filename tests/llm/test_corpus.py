@@ -161,6 +161,38 @@ def test_toxicity_search_is_exact_and_separates(spark):
     assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(blank, model).collect())
 
 
+def test_toxicity_keeps_every_term_of_few_examples(spark):
+    # 5 toxic and 25 clean examples: no term's chi-square can reach 31
+    texts = {i: f"ay bee cee w{i} " + ("vile" if i % 6 == 0 else "fine") for i in range(30)}
+    docs = spark.createDataFrame([*texts.items(), (40, "new vile one"), (41, "new fine one")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in texts], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert len(model.terms) == len({w for t in texts.values() for w in t.split()})
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert got[40].predicted == 1 and got[41].predicted == 0
+    assert got[40].terms == ["vile"] and {e.toxic for e in got[40].evidence} == {1}
+
+
+def test_toxicity_search_matches_all_products():
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(500):
+        terms = np.unique(np.concatenate((rng.zipf(1.5, 40) % 3000, [3000 + i % 2])))
+        rows.append((i, i % 2, terms.astype(np.uint64), rng.integers(1, 4, len(terms))))
+    model = toxicity.ExampleIndex(rows, (1.0, 1.0))
+    assert (model.postings.row >= 0).any() and len(model.postings.value)  # both kinds of terms
+    for i in range(0, 500, 7):
+        terms = np.searchsorted(model.terms, rows[i][2])
+        weights = model.factor[terms] / np.linalg.norm(model.factor[terms])
+        full = np.zeros(len(model.terms))
+        full[terms] = weights
+        want = full @ model.postings
+        for skip in (-1, int(want.argmax())):
+            order = [j for j in np.lexsort((np.arange(500), -want.round(12))) if j != skip and want[j] > 0][: toxicity.NEIGHBOURS]
+            found, scores = model.search(terms, weights, skip)
+            assert np.allclose(scores, want[order]) and np.array_equal(np.sort(want[found].round(9)), np.sort(want[order].round(9)))
+
+
 def test_vector_searches_match_brute_force(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(260, 8)).astype(np.float32)
