@@ -132,8 +132,8 @@ def _slots(spark, sources: DataFrame, n_sources: int, total: int, seed: int, sha
     # a source's grants come from one window; its slots are dealt out before they are made
     dealt = granted.unionByName(closing).repartition(max(16, total // 50_000), "src", "shard")
     each = dealt.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    each = _with_sources(each, sources.select("src", "blocks", "slots", "cut"), n_sources, "src").withColumn("nth", F.col("before") + F.col("slot"))
-    return each.select("src", "shard", "slot", F.expr("nth div blocks").alias("epoch"), F.expr("nth % blocks").alias("place"), "blocks", F.when((F.col("nth") == F.col("slots") - 1) & (F.expr("slots % blocks") != 0), F.col("cut")).otherwise(F.lit(1 << 40)).alias("words"))
+    each = _with_sources(each, sources.select("src", "blocks", "slots", "rest", "cut"), n_sources, "src").withColumn("nth", F.col("before") + F.col("slot"))
+    return each.select("src", "shard", "slot", F.expr("nth div blocks").alias("epoch"), F.expr("nth % blocks").alias("place"), "blocks", F.when((F.col("nth") == F.col("slots") - 1) & (F.col("rest") > 0), F.col("cut")).otherwise(F.lit(1 << 40)).alias("words"))
 
 
 def _pieces(items: DataFrame, n_docs: int, block: int) -> DataFrame:

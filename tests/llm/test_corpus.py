@@ -68,6 +68,16 @@ def test_mix_meets_targets_and_limits(docs):
     assert mixing.words_taken(*mixing.mix_sources(docs.limit(0))).count() == 0
 
 
+def test_mix_cuts_the_last_slot_when_every_block_is_used(spark):
+    # sources of one block and of several, whose incomplete pass needs all blocks
+    sizes = {"a": 3000, "b": 200, "c": 500}
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    rows = mixing.words_taken(*mixing.mix_sources(docs, weights=(12, 1, 3), share=1.2)).collect()
+    assert all(abs(r.taken - r.target) <= 1 for r in rows)
+    b = next(r for r in rows if r.source == "b")
+    assert 200 < b.target < 400
+
+
 def test_packing_is_best_fit_and_loses_nothing(docs, spark):
     def plain(items, capacity):
         bins, out = [], []
