@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage ends in the shared checkpoint folder; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+from sparkloom.operators.lineage import cut_lineage, release
 
 
 def simple(edges: DataFrame) -> DataFrame:
@@ -40,15 +32,20 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node of each connected component, by alternating star contractions."""
-    e = cut(simple(edges).select(F.col("v").alias("a"), F.col("u").alias("b")))
+    """node, root: the least node of each connected component, by alternating star contractions.
+
+    Every round shrinks paths at least by half; minima are aggregated before each shuffle
+    and joined back, so a node of very many links is no single task's group. Loops and null
+    ends are ignored; without edges there are no rows.
+    """
+    e = cut_lineage(simple(edges).select(F.col("v").alias("a"), F.col("u").alias("b")))
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         near = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        e = cut(near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b"))).distinct())
+        e = cut_lineage(near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(near.select("a", F.col("m").alias("b"))).distinct(), e)
         now = e.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 24))).first()
         if now == before or not now[0]:
             break
@@ -57,66 +54,43 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """node, hop: breadth-first layers along src -> dst, each node at its least hop; seeds are hop 0."""
-    seen = seeds.select("node", F.lit(0).alias("hop")).distinct()
-    frontier = seen
+    """node, hop: breadth-first layers along src -> dst, each node at its least hop; seeds are hop 0.
+
+    Each hop ends its lineage, and the walk ends with the first empty layer.
+    """
+    seen = cut_lineage(seeds.select("node", F.lit(0).alias("hop")).distinct())
     for h in range(1, hops + 1):
-        step = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(h))
-        seen = seen.unionByName(frontier)
+        frontier = seen.where(F.col("hop") == h - 1).select(F.col("node").alias("src"))
+        step = edges.join(frontier, "src").select(F.col("dst").alias("node")).distinct()
+        layer = cut_lineage(step.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(h)))
+        if layer.isEmpty():
+            break
+        seen = cut_lineage(seen.unionByName(layer), seen, layer)
     return seen
 
 
-#: Graphs of at most so many directed links are ranked on the driver (16 bytes a link).
-DRIVER_LINKS = 1_000_000
-
-
-def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, driver_links: int = DRIVER_LINKS) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """node, rank: personalised PageRank of the simple graph; seeds (node, weight) get the restarts.
 
-    Stops when ranks move by less than nodes * tolerance in all; without that after
-    `rounds` rounds there is no result. Small graphs, by a count of their links, are
-    iterated on the driver; larger ones by joins that end their lineage every round.
+    Stops when ranks move by less than nodes * tolerance in all, or after `rounds` rounds.
+    Each round is one join and one aggregation that combines before its shuffle, and ends
+    its lineage. Nodes without links hand their rank to the seeds.
     """
     s = simple(edges)
-    out = cut(s.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(s.select(F.col("v").alias("src"), F.col("u").alias("dst"))))
-    if out.count() <= driver_links:
-        return _small_pagerank(out, seeds, alpha, rounds, tolerance)
-    degree = out.groupBy("src").agg(F.count("*").alias("d"))
-    links = cut(out.join(degree, "src"))
+    out = s.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(s.select(F.col("v").alias("src"), F.col("u").alias("dst")))
+    links = cut_lineage(out.join(out.groupBy("src").agg(F.count("*").alias("d")), "src"))
     total = seeds.agg(F.sum("weight")).first()[0] or 1.0
-    nodes = degree.select(F.col("src").alias("node"), F.lit(True).alias("linked")).unionByName(seeds.select("node", F.lit(False).alias("linked"))).groupBy("node").agg(F.max("linked").alias("linked"))
-    start = cut(nodes.join(seeds.groupBy("node").agg((F.sum("weight") / F.lit(total)).alias("p")), "node", "left").select("node", "linked", F.coalesce("p", F.lit(0.0)).alias("p")))
+    nodes = links.select(F.col("src").alias("node"), F.lit(True).alias("linked")).unionByName(seeds.select("node", F.lit(False).alias("linked"))).groupBy("node").agg(F.max("linked").alias("linked"))
+    start = cut_lineage(nodes.join(seeds.groupBy("node").agg((F.sum("weight") / F.lit(total)).alias("p")), "node", "left").select("node", "linked", F.coalesce("p", F.lit(0.0)).alias("p")))
     n, loose = start.select(F.count("*"), F.coalesce(F.sum(F.when(~F.col("linked"), 1.0)), F.lit(0.0))).first()
     loose /= max(n, 1)
-    rank = start.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    rank = cut_lineage(start.withColumn("rank", F.lit(1.0 / max(n, 1))), start)
     for _ in range(rounds):
         flow = links.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("d")).alias("flow"))
         fresh = alpha * (F.coalesce("flow", F.lit(0.0)) + F.lit(loose) * F.col("p")) + (1 - alpha) * F.col("p")
-        rank = cut(rank.join(flow, "node", "left").select("node", "linked", "p", fresh.alias("rank"), F.col("rank").alias("old")))
-        moved, loose = rank.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0))).first()
-        rank = rank.drop("old")
+        rank = cut_lineage(rank.join(flow, "node", "left").select("node", "linked", "p", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")), rank)
+        moved, loose = rank.agg(F.sum("moved"), F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0))).first()
         if (moved or 0.0) < n * tolerance:
-            return rank.select("node", F.round("rank", 9).alias("rank"))
-    return rank.limit(0).select("node", "rank")
-
-
-def _small_pagerank(out: DataFrame, seeds: DataFrame, alpha: float, rounds: int, tolerance: float) -> DataFrame:
-    import numpy as np
-    import pandas as pd
-
-    links, weights = out.toPandas(), seeds.groupBy("node").agg(F.sum("weight").alias("w")).toPandas()
-    names = np.unique(np.concatenate((links["src"].to_numpy(), weights["node"].to_numpy())))
-    spark, kind = out.sparkSession, out.schema["src"].dataType.simpleString()
-    n = len(names)
-    src, dst = np.searchsorted(names, links["src"]), np.searchsorted(names, links["dst"])
-    degree = np.bincount(src, minlength=n)
-    p = np.zeros(n)
-    p[np.searchsorted(names, weights["node"])] = weights["w"] / (weights["w"].sum() or 1.0)
-    rank = np.full(n, 1.0 / max(n, 1))
-    for _ in range(rounds):
-        old = rank
-        rank = alpha * (np.bincount(dst, weights=(old / np.maximum(degree, 1))[src], minlength=n) + old[degree == 0].sum() * p) + (1 - alpha) * p
-        if np.abs(rank - old).sum() < n * tolerance:
-            return spark.createDataFrame(pd.DataFrame({"node": names, "rank": rank.round(9)}), f"node {kind}, rank double")
-    return spark.createDataFrame([], f"node {kind}, rank double")
+            break
+    release(links)
+    return rank.select("node", F.round("rank", 9).alias("rank"))

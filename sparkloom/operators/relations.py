@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.graph import cut
+from sparkloom.operators.lineage import cut_lineage
 
 #: Fixed values, in display order.
 KINDS = ("supersedes", "contradicts", "fixes", "refines", "continues", "returns_to", "reinforces")
@@ -36,11 +36,11 @@ def current_versions(links: DataFrame) -> DataFrame:
     The rounds are the binary logarithm of the number of replacements. A chain that runs
     into a cycle has no end: its members keep a null current.
     """
-    step = cut(heads(links).select(F.col("dst").alias("id"), F.col("src").alias("to")))
+    step = cut_lineage(heads(links).select(F.col("dst").alias("id"), F.col("src").alias("to")))
     jumps = step
     for _ in range(step.count().bit_length()):
         nxt = jumps.select(F.col("id").alias("to"), F.col("to").alias("far"))
-        jumps = cut(jumps.join(nxt, "to", "left").select("id", F.coalesce("far", "to").alias("to")))
+        jumps = cut_lineage(jumps.join(nxt, "to", "left").select("id", F.coalesce("far", "to").alias("to")), *([jumps] if jumps is not step else []))
     ends = jumps.join(step.select(F.col("id").alias("to"), F.lit(True).alias("_on")), "to", "left")
     return ends.select("id", F.when(F.col("_on").isNull(), F.col("to")).alias("current"))
 
