@@ -15,7 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import WORD, cut_lineage, word_count
+from sparkloom.llm.common import WORD, word_count
+from sparkloom.operators.lineage import cut_lineage
 
 BLOCK = 256
 SHARD_SLOTS = 8192
@@ -167,17 +168,20 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
 
     A document that a pass takes whole keeps its text; of one taken in part the row has the
     taken words in order, joined by blanks. n_chars, where docs has it, follows the text.
+    Rows that repeat doc_id, source and text come as often as they stand, each with the
+    other columns of one of them. Columns of any name keep their values.
     """
-    items, spans = mix_sources(docs, **params)
+    _, spans = mix_sources(docs, **params)
     parts = spans.groupBy("doc_id", "text_hash", "copy", "source", "epoch").agg(F.array_sort(F.collect_list(F.struct("start", "words"))).alias("parts"), F.sum("words").alias("part_words"))
     keys = ["doc_id", "source", "text_hash"]
-    keyed = docs.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(keys)
+    keyed = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), F.struct("*").alias("row")).dropDuplicates(keys)
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
-    joined = keyed.alias("d").join(parts.alias("p"), same).select("d.*", "p.parts", "p.part_words")
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("_words"), p["start"].cast("int") + 1, p["words"].cast("int")))), " ")
-    joined = joined.withColumn("_words", F.when(F.col("part_words") < word_count(F.col("text")), words))
-    out = joined.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(some))
+    joined = keyed.alias("d").join(parts.alias("p"), same).select("d.row", "p.parts", "p.part_words")
+    whole = F.col("row.text")
+    joined = joined.withColumn("words", F.when(F.col("part_words") < word_count(whole), F.regexp_extract_all(whole, F.lit(WORD), F.lit(0))))
+    some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("words"), p["start"].cast("int") + 1, p["words"].cast("int")))), " ")
+    out = joined.select("row", F.when(F.col("words").isNull(), whole).otherwise(some).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
