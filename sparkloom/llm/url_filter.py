@@ -37,22 +37,26 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 class Trie:
     """Host labels from the right, then path segments; a rule's last, open segment is a prefix.
 
-    Each node is [children, rules that end here as {open segment: (verdict, rule)}]. Path
-    segments hang off the host node under keys that start with '/', which no label does.
+    Each node is [children, rules that end here as {open segment: (verdict, rule)}, lengths
+    of the open segments, longest first]. Path segments hang off the host node under keys
+    that start with '/', which no label does.
     Of the rules that fit, the one with the longest host wins, then the longest path;
     of two verdicts for the same host and path, block wins.
     """
 
     def __init__(self, rules: Iterable[Rule]):
-        self.root: list = [{}, {}]
+        self.root: list = [{}, {}, []]
         for verdict, host, path in rules:
             node = self.root
             segments = path.split("/")[1:] if path else None
             for key in [*reversed(host.split(".")), *("/" + s for s in (segments or [""])[:-1])]:
-                node = node[0].setdefault(key, [{}, {}])
+                node = node[0].setdefault(key, [{}, {}, []])
             last = "/" + segments[-1] if segments is not None else ""
             if node[1].get(last, ("",))[0] != "block":
                 node[1][last] = (verdict, host + path)
+            if last and len(last) not in node[2]:
+                node[2].append(len(last))
+                node[2].sort(reverse=True)
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         nodes, node = [], self.root
@@ -65,9 +69,8 @@ class Trie:
         for node in reversed(nodes):
             best = node[1].get("")
             for i, segment in enumerate(segments):
-                fits = [k for k in node[1] if k and ("/" + segment).startswith(k)] if node[1] else ()
-                if fits:
-                    best = node[1][max(fits, key=len)]
+                fit = next((f for n in node[2] if n <= len(segment) + 1 and (f := node[1].get(("/" + segment)[:n]))), None)
+                best = fit or best
                 node = node[0].get("/" + segment) if i < len(segments) - 1 else None
                 if node is None:
                     break
