@@ -1,30 +1,39 @@
-"""Pieces shared by the corpus operators: checkpoints, sizes, hashed words and shingles."""
+"""Pieces shared by the corpus operators: samples by hash, sizes, hashed words and shingles."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.lineage import cut_lineage
+
 #: A word is a maximal run of bytes other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and return it without its lineage.
+#: Parts of the hash range in which least_hashed counts before it ranks.
+RANGES = 1024
+
+
+def least_hashed(rows: DataFrame, by: str, ident: str, n: int) -> DataFrame:
+    """by, ident, r: the n distinct idents of least hash of each value of by, ranked from 1.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; a folder of
-    its own is used only where that setting is missing (single-machine tests).
+    Idents are counted by ranges of their hash, and only the ranges that the first n lie in
+    are ranked, so that no task sorts a whole class, however many rows it has. Rows of null
+    by or ident are left out; an empty table gives none.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    hashed = rows.where(F.col(by).isNotNull() & F.col(ident).isNotNull()).select(by, ident).distinct()
+    hashed = cut_lineage(hashed.withColumn("h", F.xxhash64(ident)).withColumn("part", F.shiftrightunsigned("h", 54)))
+    before = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hashed.groupBy(by, "part").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    some = hashed.join(counts.where(F.col("before") < n).select(by, "part"), [by, "part"])
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("part", "h", ident))
+    return some.select(by, ident, rank.alias("r")).where(F.col("r") <= n)
 
 
 def word_count(text: Column) -> Column:
@@ -86,7 +95,7 @@ SPACED = byte_table(SPACE_BYTES)
 ALNUM = byte_table(bytes(b for b in range(128) if not chr(b).isalnum()))
 
 
-def batches(sizes: Sequence[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def batches(sizes: Sequence[int], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Index ranges whose sizes sum to at most limit (one larger element stands alone)."""
     start = total = 0
     for i, n in enumerate(sizes):

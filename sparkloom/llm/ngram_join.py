@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut_lineage, mix64, parts_for, set_id, shingle_sets
-from sparkloom.llm.components import components
+from sparkloom.llm.common import mix64, parts_for, set_id, shingle_sets
+from sparkloom.operators.graph import components
+from sparkloom.operators.lineage import cut_lineage, release
 
 #: Hash groups, the coordinates of a point.
 GROUPS = 256
@@ -37,7 +38,7 @@ LEAF = 16
 BLOCK = 512
 #: Sets of one side of the completion's grid.
 SIDE = 4096
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: Frequent shingles that are broadcast at most (8 bytes each).
 HOT = 1 << 20
 #: A screened entry carries this many bytes of its shingle's hash and of its set's id; chance agreement only lets sets pass.
@@ -296,7 +297,7 @@ def _sets(docs: DataFrame, alive: DataFrame, k: int) -> DataFrame:
 
     sets = cut_lineage(keyed.mapInArrow(run, "sid long, n long, hashes binary, first long, second long, point binary"))
     rows, distinct = sets.select(F.count("sid"), F.count_distinct("sid")).first()
-    return sets if rows == distinct else cut_lineage(sets.dropDuplicates(["sid"]))
+    return sets if rows == distinct else cut_lineage(sets.dropDuplicates(["sid"]), sets)
 
 
 def _runs(*columns: np.ndarray) -> Iterator[np.ndarray]:
@@ -356,8 +357,8 @@ def _open_shingles(entries: DataFrame) -> DataFrame:
     return cut_lineage(entries.groupBy("h").agg(*every).where("lo <> hi"))
 
 
-def _across_components(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """a, b: distinct pairs of sets of different components that may have a link.
+def _across_components(sets: DataFrame, comp: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b: distinct pairs of sets of different components that may have a link; the tables behind them).
 
     Shingles that gather more than a block go last in the order of first shingles (the
     HOT most frequent of them: which ones changes the cost, not the result). Of first
@@ -369,8 +370,9 @@ def _across_components(sets: DataFrame, comp: DataFrame, percent: int) -> DataFr
     hot = open_.where(f"c > {BLOCK}").orderBy(F.desc("c"), "h").limit(HOT).select("h").toPandas()["h"].to_numpy(np.int64)
     if len(hot):
         entries = _entries(sets, comp, percent, np.sort(hot))
+        release(open_)
         open_ = _open_shingles(entries)
-    once = cut_lineage(open_.groupBy("lo", "hi", "c", "who", "a", "b", "n").agg(F.min("h").alias("h"), F.count("*").alias("w")))
+    once = cut_lineage(open_.groupBy("lo", "hi", "c", "who", "a", "b", "n").agg(F.min("h").alias("h"), F.count("*").alias("w")), open_)
     two = once.where("c = 2").select("a", "b", "n", "w")
     split = F.expr(f"(c + {SIDE - 1}) div {SIDE}")
     members = entries.join(once.where("c > 2").select("h", "c", "w"), "h").select("h", "w", "sid", "comp", split.alias("s"), F.pmod(F.xxhash64("sid", "h"), split).alias("own"))
@@ -393,7 +395,7 @@ def _across_components(sets: DataFrame, comp: DataFrame, percent: int) -> DataFr
         return pa.table({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("a", "b", "n", "w"))})
 
     pairs = two.unionByName(dealt.groupBy("task").applyInArrow(run, "a long, b long, n long, w long"))
-    return pairs.groupBy("a", "b").agg(F.sum("w").alias("w"), F.min("n").alias("n")).where("w >= n div 8 + 1").select("a", "b")
+    return pairs.groupBy("a", "b").agg(F.sum("w").alias("w"), F.min("n").alias("n")).where("w >= n div 8 + 1").select("a", "b"), [once]
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -420,11 +422,14 @@ def labelled_documents(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     """doc_id, key, n, grp, component_id of every row of docs; rows that links join share grp."""
     rows, alive = _screened(docs, k, percent)
     sets = _sets(docs, alive, k)
-    first = components(_linked_in_blocks(sets, percent))
-    more = _verified(_across_components(sets, first, percent), sets, percent)
+    first = components(_linked_in_blocks(sets, percent).toDF("src", "dst"))
+    pairs, spent = _across_components(sets, first, percent)
+    more = _verified(pairs, sets, percent)
     root = lambda x: first.select(F.col("node").alias(x), F.col("root").alias("r" + x))
-    more = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    more = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("ra", "a").alias("src"), F.coalesce("rb", "b").alias("dst"))
     second = components(more)
+    for table in (sets, *spent):
+        release(table)
     label = alive.select("sid", "least").join(first, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("root", "sid").alias("c"))
     label = cut_lineage(label.join(second, F.col("c") == F.col("node"), "left").select("sid", "least", F.coalesce("root", "c").alias("c")))
     named = label.join(label.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("sid", "c", "component_id")
@@ -443,7 +448,11 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFram
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """The row of least doc_id of each group of linked rows, with all columns of docs; equal rows leave one."""
+    """The row of least doc_id of each group of linked rows, with all columns of docs, whatever their names.
+
+    Rows of equal id and text leave one, and so do rows of null id and text. Null, empty and
+    blank texts link with nothing and stay. An empty table stays empty.
+    """
     labels = labelled_documents(docs, k, percent)
-    kept = labels.groupBy("grp").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("_key")).select("_key")
-    return docs.withColumn("_key", _key()).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    kept = labels.groupBy("grp").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key")).select("key")
+    return docs.select(_key(), F.struct("*").alias("row")).join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
