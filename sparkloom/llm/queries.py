@@ -101,27 +101,25 @@ FROM one WHERE NOT EXISTS (SELECT 1 FROM prefixes WHERE p = one.t)
 """
 
 OP7_SQL = """
-WITH v AS (
-  SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-  GROUP BY vec_id
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.row AS asked, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score
+  FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 50 = 0
 )
-SELECT query_id, r::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
+SELECT query_id, r::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
 """
 
 OP9_SQL = """
-WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT)) AS e FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+  SELECT q.row AS asked, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 100 = 0
 )
-SELECT query_id, r::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10
+SELECT query_id, r::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10
 """
 
 OP10_SQL = r"""
