@@ -1,9 +1,10 @@
 """Language identification by prediction by partial matching over bytes under frozen statistics.
 
-Each language has counts of symbols after contexts of 0 to 3 bytes. A symbol seen after a
-context costs -log2(c / (N + u)), with N symbols of u kinds seen there; any other costs an
+Each language has counts of bytes after contexts of 0 to 3 bytes. A byte seen after a
+context costs -log2(c / (N + u)), with N bytes of u kinds seen there; any other costs an
 escape, -log2(u / (N + u)), and goes on with the context shortened by a byte, down to the
-uniform code. A text's language is the one with the shortest code for all of its bytes.
+uniform code of 8 bits. A text's language is the one with the shortest code for all of its
+bytes.
 """
 
 from __future__ import annotations
@@ -13,18 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import batches, cut_lineage
+from sparkloom.llm.common import batches, least_hashed
 
-#: Whole training texts of one language, those of least hash; bounds the model.
+#: Whole training texts of one language, those of least hash, and of all languages; both bound the model.
 TEXTS_PER_LANGUAGE = 400
-#: Ids of chosen texts that are broadcast at most; with more languages they are joined.
-BROADCAST_IDS = 200_000
+TEXTS = 16_000
 ORDER = 3
-#: Byte classes: the 63 most frequent bytes of the sample and one for all others, which pay for their identity.
-CLASSES = 64
+#: Languages whose costs of a batch are held at a time.
+SLICE = 16
 UNDETERMINED = "und"
 
 
@@ -33,114 +33,104 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0))
 
 
+def _grams(padded: np.ndarray) -> np.ndarray:
+    """(three bytes before, byte) of each position of a text behind ORDER line feeds, as integers."""
+    b = padded.astype(np.uint32)
+    return (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
+
+
 def gram_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (three bytes before, byte) of a text as integers, with counts; line feeds stand before its start."""
-    b = np.frombuffer(b"\n" * ORDER + text, np.uint8).astype(np.uint32)
-    return np.unique((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:], return_counts=True)
+    return np.unique(_grams(np.frombuffer(b"\n" * ORDER + text, np.uint8)), return_counts=True)
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of wanted in the sorted keys, whether they are there)."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class ContextTree:
+    """One language's frozen code lengths: at each order sorted strings (context and byte) with
+    their bits, and sorted contexts with the bits of their escape. Only what was seen is stored."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray):
+        self.orders = []
+        for order in range(ORDER, -1, -1):
+            keys, of = np.unique(grams & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            counts = np.bincount(of, n, len(keys))
+            contexts, of = np.unique(keys >> 8, return_inverse=True)
+            kinds = np.bincount(of, minlength=len(contexts))
+            whole = np.bincount(of, counts, len(contexts)) + kinds
+            self.orders.append((keys.astype(np.uint32), np.log2(whole[of] / counts), contexts.astype(np.uint32), np.log2(whole / kinds)))
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each (three bytes before, byte)."""
+        out = np.zeros(len(grams))
+        todo = np.arange(len(grams))
+        for order, (keys, cost, contexts, escape) in zip(range(ORDER, -1, -1), self.orders, strict=True):
+            key = grams[todo] & np.uint32((1 << 8 * (order + 1)) - 1)
+            at, seen = _at(keys, key)
+            out[todo[seen]] += cost[at[seen]]
+            todo, key = todo[~seen], key[~seen]
+            at, known = _at(contexts, key >> np.uint32(8))
+            out[todo[known]] += escape[at[known]]
+        out[todo] += 8.0
+        return out
 
 
 class ContextTrees:
-    """Frozen code lengths of every language, as tables that are built where first used."""
+    """The context trees of every learned language."""
 
     def __init__(self, counts: pd.DataFrame):
         """counts: lang, gram, n."""
         self.langs = sorted(counts["lang"].unique())
-        self.lang = np.searchsorted(self.langs, counts["lang"].to_numpy(object)) if len(counts) else np.zeros(0, int)
-        self.grams = counts["gram"].to_numpy(np.int64)
-        self.n = counts["n"].to_numpy(np.float64)
-        self._tables = None
-
-    def _classes(self) -> np.ndarray:
-        seen = np.bincount(self.grams & 255, weights=self.n, minlength=256)
-        common = np.argsort(-seen, kind="stable")[: CLASSES - 1]
-        classes = np.full(256, CLASSES - 1, np.int64)
-        classes[np.sort(common)] = np.arange(len(common))
-        return classes
-
-    def tables(self):
-        """(byte classes, bits of rare bytes, row of each seen gram, rows' costs, escapes at full order, costs below it)."""
-        if self._tables is None:
-            a, langs = CLASSES, len(self.langs)
-            classes = self._classes()
-            split = [classes[(self.grams >> s) & 255] for s in (24, 16, 8, 0)]
-            full = ((split[0] * a + split[1]) * a + split[2]) * a + split[3]
-            lower = np.full((1, langs), np.log2(a))
-            for order in range(ORDER):
-                size = a ** (order + 1)
-                c = np.zeros((size, langs))
-                np.add.at(c, (full % size, self.lang), self.n)
-                by_context = c.reshape(-1, a, langs)
-                total, kinds = by_context.sum(1), (by_context > 0).sum(1)
-                escape = _bits(kinds, total + kinds)
-                below = lower.reshape(-1, 1, langs) if order == 0 else np.tile(lower.reshape(-1, a, langs), (a, 1, 1))
-                cost = np.where(by_context > 0, _bits(by_context, (total + kinds)[:, None, :]), escape[:, None, :] + below)
-                lower = cost.reshape(size, langs)
-            seen, at = np.unique(full, return_inverse=True)
-            c = np.zeros((len(seen), langs))
-            np.add.at(c, (at, self.lang), self.n)
-            contexts, of = np.unique(seen // a, return_inverse=True)
-            total, kinds = np.zeros((len(contexts), langs)), np.zeros((len(contexts), langs))
-            np.add.at(total, of, c)
-            np.add.at(kinds, of, c > 0)
-            escape = np.zeros((a**ORDER, langs))
-            escape[contexts] = _bits(kinds, total + kinds)
-            cost = np.where(c > 0, _bits(c, (total + kinds)[of]), escape[seen // a] + lower[seen % a**ORDER])
-            row = np.full(a ** (ORDER + 1), -1, np.int32)
-            row[seen] = np.arange(len(seen), dtype=np.int32)
-            rare = np.where(classes == a - 1, np.log2(max(1, int((classes == a - 1).sum()))), 0.0)
-            self._tables = classes.astype(np.int32), rare, row, cost, escape, lower
-        return self._tables
+        lang = np.searchsorted(self.langs, counts["lang"].to_numpy(object)) if len(counts) else np.zeros(0, int)
+        grams, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
+        self.trees = [ContextTree(grams[lang == i], n[lang == i]) for i in range(len(self.langs))]
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each whole text under each language."""
-        out = np.zeros((len(texts), len(self.langs)))
-        if not self.langs:
-            return out
-        classes, rare, row, cost, escape, lower = self.tables()
-        a = CLASSES
-        for lo, hi in batches([len(t) for t in texts], 1 << 18):
+        """Bits of each whole text under each language; a batch's distinct strings are looked up once."""
+        out = np.zeros((len(texts), len(self.trees)))
+        for lo, hi in batches([len(t) for t in texts], 1 << 19):
             pad = b"\n" * ORDER
             joined = np.frombuffer(pad + pad.join(texts[lo:hi]) + pad, np.uint8)
-            c = classes[joined]
-            gram = ((c[:-3] * a + c[1:-2]) * a + c[2:-1]) * a + c[3:]
-            at = row[gram]
-            bits = cost[at] if len(cost) else np.zeros((len(gram), len(self.langs)))
-            new = np.flatnonzero(at < 0)
-            bits[new] = escape[gram[new] // a] + lower[gram[new] % a**ORDER]
-            bits += rare[joined[ORDER:]][:, None]
+            grams, at = np.unique(_grams(joined), return_inverse=True)
             begins = np.cumsum([0, *(len(t) + ORDER for t in texts[lo:hi])])
             edges = np.stack((begins[:-1], begins[1:] - ORDER), 1).ravel()
-            sums = np.add.reduceat(bits, edges, axis=0)[0::2]
-            out[lo:hi] = np.where((edges[0::2] < edges[1::2])[:, None], sums, 0.0)
+            some = (edges[0::2] < edges[1::2])[:, None]
+            for a in range(0, len(self.trees), SLICE):
+                bits = np.stack([tree.bits(grams) for tree in self.trees[a : a + SLICE]], axis=1)[at]
+                out[lo:hi, a : a + SLICE] = np.where(some, np.add.reduceat(bits, edges, axis=0)[0::2], 0.0)
         return out
 
 
-def _bits(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """-log2(part / whole), 0 where nothing was seen."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(part > 0, np.log2(whole) - np.log2(np.maximum(part, 1e-300)), 0.0)
+def fit_languages(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, most: int = TEXTS) -> ContextTrees:
+    """Context trees from at most per_language whole texts of each value of lang, and `most` in all.
 
-
-def fit_languages(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> ContextTrees:
-    """Context trees from at most per_language whole texts of each value of lang.
-
-    The texts are chosen by id alone and only then fetched; only the gram counts of that
-    bounded sample come to the driver. Rows of null text, lang or doc_id teach nothing.
+    The texts are chosen by id alone and only then fetched; strings are counted by the
+    executors, and only the counts of that bounded sample come to the driver. Rows of null
+    text, lang or doc_id teach nothing; of rows that repeat an id the least text does. An
+    empty table teaches no language. A very long text is counted whole.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = cut_lineage(known.select("lang", "doc_id", rank.alias("r")).where(F.col("r") <= per_language).select("lang", "doc_id").distinct())
-    small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = known.join(small, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    known = docs.select("lang", "doc_id", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    ids = least_hashed(known, "lang", "doc_id", per_language).orderBy("r", F.xxhash64("lang", "doc_id"), "lang").limit(most).select("lang", "doc_id")
+    texts = known.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # `most` ids at most
 
-    def count(t: pa.Table) -> pa.Table:
-        total: dict[int, int] = {}
-        for text in t.column("text").to_pylist():
-            for g, n in zip(*(x.tolist() for x in gram_counts(text.encode())), strict=True):
-                total[g] = total.get(g, 0) + n
-        return pa.table({"lang": pa.array([t.column("lang")[0].as_py()] * len(total), pa.string()), "gram": pa.array(total.keys(), pa.int64()), "n": pa.array(total.values(), pa.int64())})
+    def count(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, dict[int, int]] = {}
+        for t in tables:
+            for lang, text in zip(t.column("lang").to_pylist(), t.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                own = total.setdefault(lang, {})
+                for g, n in zip(*(x.tolist() for x in gram_counts(text)), strict=True):
+                    own[g] = own.get(g, 0) + n
+        for lang, own in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.int64())], names=["lang", "gram", "n"])
 
-    return ContextTrees(texts.groupBy("lang").applyInArrow(count, "lang string, gram long, n long").toPandas())
+    counts = texts.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+    return ContextTrees(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
 
 
 def identify(docs: DataFrame, model: ContextTrees) -> DataFrame:
@@ -148,18 +138,22 @@ def identify(docs: DataFrame, model: ContextTrees) -> DataFrame:
 
     Null texts and texts without a letter are `und` with score 0, and so are all texts if
     no language was learned. The score is the language's posterior probability with equal
-    priors. Ties go to the smaller name. Repeated rows stay repeated; whole texts are read.
+    priors. Ties go to the smaller name. Repeated rows stay repeated; whole texts are read,
+    however long; an empty table stays empty; other columns keep their values whatever
+    their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.drop("lang_pred", "score", "bits").withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    schema = docs.drop("lang_pred", "score", "bits").select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits")).schema
-    keep = [c for c in plain.columns if c != "_letters"]
+    plain = docs.drop("lang_pred", "score", "bits")
+    text, width = plain.columns.index("text"), len(plain.columns)
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    schema = plain.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits")).schema
+    names = schema.names
 
     def predict(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         for t in tables:
-            letters = np.array(t.column("_letters").to_pylist(), bool) & bool(trees.langs)
-            texts = t.column("text").cast(pa.binary()).filter(pa.array(letters)).to_pylist()
+            letters = np.array(t.column(width).to_pylist(), bool) & bool(trees.langs)
+            texts = t.column(text).cast(pa.binary()).filter(pa.array(letters)).to_pylist()
             lang = np.full(len(letters), UNDETERMINED, object)
             score, bits = np.zeros(len(letters)), np.zeros(len(letters))
             if texts:
@@ -168,6 +162,6 @@ def identify(docs: DataFrame, model: ContextTrees) -> DataFrame:
                 bits[letters] = shortest = lengths.min(1)
                 lang[letters] = np.array(trees.langs, object)[best]
                 score[letters] = 1 / np.exp2(np.maximum(shortest[:, None] - lengths, -1000.0)).sum(1)
-            yield pa.RecordBatch.from_arrays([*(t.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names=[*keep, "lang_pred", "score", "bits"])
+            yield pa.RecordBatch.from_arrays([*t.columns[:width], pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names=names)
 
-    return plain.mapInArrow(predict, schema)
+    return plain.select(*plain.columns, letters.alias("_letters")).toDF(*(f"_{i}" for i in range(width + 1))).mapInArrow(predict, schema)

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import ALNUM, batches, hashed_words
+from sparkloom.llm.common import ALNUM, batches, hashed_words, least_hashed
 
 #: Labelled examples of each class at most, those of least hash; bounds the model.
 EXAMPLES = 2000
@@ -218,12 +218,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -
 
     The examples are those of least hash of their id, whole texts with all their terms; a
     document of several labels is toxic if one says so. Null ids, labels and texts teach
-    nothing. The chosen ids, at most twice `examples`, are broadcast to find the texts; terms
+    nothing; an empty table leaves no example. The chosen ids, at most twice `examples`, are broadcast to find the texts; terms
     are counted on the executors and travel to the driver as 16 bytes a term of an example.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("r", rank).where(F.col("r") <= examples).select("doc_id", "toxic")
+    chosen = least_hashed(known, "toxic", "doc_id", examples).select("doc_id", "toxic")
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def count(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +244,9 @@ def score_toxicity(docs: DataFrame, model: ExampleIndex) -> DataFrame:
     score is the calibrated vote of the nearest examples, weighted by squared similarity;
     a text that shares no term with any example, null and empty texts included, gets the
     rate of toxic labels among examples without terms. predicted is 1 from 0.5 on.
-    evidence holds up to three nearest examples, nearest first. Repeated rows stay.
+    evidence holds up to three nearest examples, nearest first. Whole texts are read,
+    however long; repeated rows stay; an empty table stays empty. Without any example every
+    score is 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.drop("score", "predicted", "evidence", "terms")

@@ -131,23 +131,50 @@ def test_code_lengths_are_exact_and_separate_languages(docs, spark):
             for k in range(4):
                 counts.setdefault(data[i - k : i], {}).setdefault(data[i], 0)
                 counts[data[i - k : i]][data[i]] += 1
-    text = b"the mat zap"
-    padded, bits = b"\n" * 3 + text, 0.0
-    # only bytes that the sample has: one class each, none of them rare
-    for i in range(3, len(padded)):
-        for k in (3, 2, 1, 0):
-            seen = counts.get(padded[i - k : i])
-            if seen:
-                total, kinds = sum(seen.values()), len(seen)
-                if padded[i] in seen:
-                    bits -= np.log2(seen[padded[i]] / (total + kinds))
-                    break
-                bits -= np.log2(kinds / (total + kinds))
-        else:
-            bits += np.log2(64)
-    mine = model.code_lengths([text])[0, model.langs.index("en")]
-    extra = model.tables()[1][list(text)].sum()
-    assert mine - extra == pytest.approx(bits)
+    for text in (b"the mat zap", b"\xc3\xa9 Z\x00 \xff\xfe the", b"t"):  # also bytes and contexts that no text had
+        padded, bits = b"\n" * 3 + text, 0.0
+        for i in range(3, len(padded)):
+            for k in (3, 2, 1, 0):
+                seen = counts.get(padded[i - k : i])
+                if seen:
+                    total, kinds = sum(seen.values()), len(seen)
+                    if padded[i] in seen:
+                        bits -= np.log2(seen[padded[i]] / (total + kinds))
+                        break
+                    bits -= np.log2(kinds / (total + kinds))
+            else:
+                bits += 8
+        lengths = model.code_lengths([b"", text, text * 2])
+        assert lengths[1, model.langs.index("en")] == pytest.approx(bits) and not lengths[0].any()
+
+
+def test_many_languages_are_learned_from_a_bounded_sample(spark):
+    rng = random.Random(8)
+    alphabet = [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0x430, 0x450)]
+    rows = []
+    for lang in range(60):
+        words = ["".join(rng.choices(alphabet, k=5)) for _ in range(30)]
+        rows += [(lang * 100 + i, " ".join(rng.choices(words, k=40)), f"l{lang:02}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_languages(docs, per_language=5, most=200)
+    assert len(model.langs) == 60
+    got = language_id.identify(docs, model).select("lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.99 * len(got)
+    assert language_id.fit_languages(docs.limit(0)).langs == []
+
+
+def test_least_hashed_is_the_same_as_one_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm.common import least_hashed
+
+    rows = spark.range(5000).select((F.col("id") % 4700).alias("i"), F.when(F.col("id") % 3 > 0, "a").when(F.col("id") % 7 > 0, "b").alias("by"))
+    h = F.xxhash64("i")
+    rank = F.row_number().over(Window.partitionBy("by").orderBy(F.shiftrightunsigned(h, 54), h, "i"))
+    want = rows.where("by IS NOT NULL").distinct().select("by", "i", rank.alias("r")).where("r <= 100")
+    got = least_hashed(rows, "by", "i", 100)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_toxicity_search_is_exact_and_separates(spark):
@@ -207,23 +234,35 @@ def test_vector_searches_match_brute_force(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=(260, 8)).astype(np.float32)
     v[7] = v[3]
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (None, [1.0] * 8), (5, v[5].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    d = v.astype(np.float64)
+    # repeated rows, an id with two vectors, a hot vector, and rows that take no part
+    valid = [(i, x.tolist()) for i, x in enumerate(v)] + [(5, v[5].tolist()), (100, v[9].tolist()), (50, v[50].tolist())] + [(400 + i, v[11].tolist()) for i in range(30)]
+    df = spark.createDataFrame([*valid, (300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [None] * 8), (None, [1.0] * 8)], "vec_id long, embedding array<float>")
+    ids, d = np.array([i for i, _ in valid]), np.array([x for _, x in valid], np.float64)
     cos = (d @ d.T) / (np.linalg.norm(d, axis=1)[:, None] * np.linalg.norm(d, axis=1))
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(df).collect()}
-    for q in range(0, 260, 50):
-        order = sorted((i for i in range(260) if i != q), key=lambda i: (-round(cos[q, i], 12), i))[:5]
-        assert [got[q, k + 1][0] for k in range(5)] == order
+
+    def plain(scores, every, k, extra=()):
+        out = []
+        for q in np.flatnonzero(ids % every == 0):
+            order = sorted([(-scores[q, i], int(ids[i])) for i in range(len(ids)) if i != q] + list(extra))[:k]
+            out += [(int(ids[q]), r + 1, i, -s) for r, (s, i) in enumerate(order)]
+        return sorted(out)
+
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 12)) for r in ann.nearest(df).collect())
+    assert got == plain(cos.round(12), 50, 5)
     ints = np.floor(1024 * d).astype(np.int64)
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in exact_topk.top_inner_products(df).collect()}
-    for q in (0, 100, 200):
-        scores = ints @ ints[q]
-        order = sorted((i for i in range(260) if i != q), key=lambda i: (-scores[i], i))
-        order = [(i, int(scores[i])) for i in order]
-        order = sorted([*order, (301, 0)], key=lambda p: (-p[1], p[0]))[:10]
-        assert [got[q, k + 1] for k in range(10)] == order
-    assert ann.nearest(df.limit(0)).count() == 0
+    got = sorted(map(tuple, exact_topk.top_inner_products(df.where("vec_id <> 301 OR vec_id IS NULL")).collect()))
+    assert got == plain(ints @ ints.T, 100, 10)
+    assert ann.nearest(df.limit(0)).count() == exact_topk.top_inner_products(df.limit(0)).count() == 0
+
+
+def test_vector_searches_with_huge_components(spark):
+    rows = [(0, [1e20, 1.0]), (1, [1e20, -1.0]), (2, [-1e20, 0.0]), (3, [1e200, 1e200]), (4, [1e-200, 0.0]), (5, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' as v", "1 as key")
+    near = {(r.rank, r.vec_id): r.score for r in ann.nearest(df).collect()}
+    assert [i for _, i in sorted(near)] == [1, 4, 5, 3, 2]
+    assert near[4, 3] == pytest.approx(0.5**0.5) and near[5, 2] == pytest.approx(-1.0)
+    top = {r.vec_id: r.score for r in exact_topk.top_inner_products(df).collect()}
+    assert top[1] == top[3] == 2**63 - 1 and top[2] == -(2**63) and top[4] == 0 and top[5] == 2**63 - 1
 
 
 def test_url_trie_and_join_agree(spark, monkeypatch):
@@ -247,16 +286,25 @@ def test_chats_collapse_to_maximal_conversations(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
-def test_pipeline_stages_keep_the_columns(spark, docs, tmp_path):
-    import corpus_pipeline
+def test_chats_order_nulls_first_over_lots(spark):
+    turns = [(1, None, "user", "n"), (1, -5000, "user", "m"), (1, -1, "user", "a"), (1, 0, "user", "b"), (1, 9000, None, "c"), (1, 9000, "user", None), (1, 9000, "user", None)]
+    # conversation 2 is a prefix, 0 repeats it, 3 has the same turns but another last text
+    turns += [(c, n, r, x) for c in (2, 0) for _, n, r, x in turns[:4]] + [(3, n, r, x) for _, n, r, x in turns[:3]] + [(3, 0, "user", "z" * 100_000)]
+    df = spark.createDataFrame([(*t, 1, "k") for t in turns], "conv_id long, turn long, role string, text string, n int, lot string")
+    got = {r.conv_id: (r.n_turns, r.snapshots, r.rendered) for r in chat_format.format_chats(df).collect()}
+    assert set(got) == {1, 3} and got[1][:2] == (7, 1) and got[3][:2] == (4, 1)
+    assert [p.split("\n")[1] for p in got[1][2].split("<|im_end|>\n")[:-1]] == ["n", "m", "a", "b", "c", "", ""]
+
+
+def test_trie_finds_the_longest_open_segment():
+    rules = [url_filter.Rule("block", "a.org", f"/{'x' * n}") for n in range(1, 40, 2)] + [url_filter.Rule("allow", "org", ""), url_filter.Rule("allow", "a.org", "/xx/y"), url_filter.Rule("block", "a.org", "/xx/")]
+    trie = url_filter.Trie(rules)
+
+    def plain(host, path):
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: (len(r.host), len(r.path)), default=None)
+        return best and (best.verdict, best.host + best.path)
 
-    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    plain.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES:
-        rows = stage(spark, rows, str(tmp_path))
-        rows.write.parquet(f"{tmp_path}/{name}")
-        rows = spark.read.parquet(f"{tmp_path}/{name}")
-        assert name == "best_fit_packing" or rows.columns == plain.columns
-        assert rows.count() > 0
+    for host in ("a.org", "b.a.org", "org", "net", ""):
+        for path in ("", "/", "/x", "/xxxx", "/" + "x" * 80, "/xx/", "/xx/yz", "/xx/zy", "/y/xx"):
+            assert trie.find(host, path) == plain(host, path)
