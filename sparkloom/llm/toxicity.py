@@ -18,7 +18,7 @@ BLOCK = 64
 #: A term of at least one in so many examples is kept dense.
 DENSE = 16
 #: Texts that are searched at once.
-TEXTS = 128
+TEXTS = 64
 #: Weight of the no-evidence rate among the votes, where a nearest possible neighbour weighs 1.
 PRIOR = 0.0025
 
@@ -82,17 +82,16 @@ class ExampleIndex:
         n = len(rows)
         toxic = np.array([t for _, t, *_ in rows], np.int64)
         ids = np.array([d if d is not None else -1 for d, *_ in rows], np.int64)
-        owner = np.repeat(np.arange(n), [len(h) for *_, h, _ in rows])
-        hashes = np.concatenate([np.zeros(0, np.uint64), *(h for *_, h, _ in rows)])
-        counts = np.concatenate([np.zeros(0, np.int64), *(c for *_, c in rows)])
-        self.terms, term = np.unique(hashes, return_inverse=True)
+        owner = np.repeat(np.arange(n, dtype=np.int32), [len(h) for *_, h, _ in rows])
+        self.terms, term = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for *_, h, _ in rows)]), return_inverse=True)
+        term = term.astype(np.int32)
         df = np.bincount(term, minlength=len(self.terms)).astype(np.float64)
         a = np.bincount(term, toxic[owner], len(self.terms))
         n1 = float(toxic.sum())
         n0, rest = n - n1, n - df
         phi = np.abs(a * n0 - (df - a) * n1) / np.sqrt(np.maximum(1.0, n1 * n0 * df * rest)) if n1 and n0 else np.ones(len(df))
         self.factor = (np.log((1 + n) / (1 + df)) + 1) * phi
-        value = (1 + np.log(counts)) * self.factor[term]
+        value = np.concatenate([np.zeros(0), *(1 + np.log(c) for *_, c in rows)]) * self.factor[term]
         norms = np.sqrt(np.bincount(owner, value**2, n))
         weight = np.asarray(rates)[toxic] if n else np.zeros(0)
         some = norms > 0
@@ -102,13 +101,15 @@ class ExampleIndex:
         by_weight = np.lexsort((value, owner))
         last = np.flatnonzero(np.diff(owner[by_weight], append=n))
         first[owner[by_weight][last]] = term[by_weight][last]
+        del by_weight, last
         index = np.lexsort((ids, first, toxic))
         index = index[some[index]]
         self.toxic, self.ids, self.weight = toxic[index], ids[index], weight[index]
-        place = np.full(n, -1)
+        place = np.full(n, -1, np.int32)
         place[index] = np.arange(len(index))
         kept = some[owner] & (value > 0)
         position, term, value = place[owner[kept]], term[kept], value[kept] / norms[owner[kept]]
+        del owner, kept
         self.postings = Postings(term, position, value, len(self.terms), len(index))
         self.knots, self.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         order = np.lexsort((term, position))
