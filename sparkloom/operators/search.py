@@ -6,17 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import words
-from sparkloom.functions.vectors import cosine
+from sparkloom.functions.vectors import dot, norm
+from sparkloom.operators.lineage import cut_lineage
 
 K1, B = 1.2, 0.75
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """id, word, tf, len from (id, text)."""
-    tokens = texts.select("id", words(F.col("text")).alias("w"))
-    return tokens.select("id", F.size("w").alias("len"), F.explode("w").alias("word")).groupBy("id", "len", "word").agg(F.count("*").alias("tf"))
-
-
 def bm25(texts: DataFrame, query: list[str], k: int) -> DataFrame:
     """id, score of the k best texts for the query's distinct words.
 
@@ -25,9 +20,11 @@ def bm25(texts: DataFrame, query: list[str], k: int) -> DataFrame:
     """
     asked = sorted({w.lower() for w in query})
     tokens = texts.select("id", words(F.col("text")).alias("w"))
-    hits = tokens.select("id", F.size("w").alias("len"), F.filter("w", lambda x: x.isin(asked)).alias("m"))
+    matched = F.filter("w", lambda x: x.isin(asked))
+    counted = F.transform(F.array_distinct("m"), lambda x: F.struct(x.alias("word"), F.size(F.filter("m", lambda y: y == x)).alias("tf")))
+    hits = cut_lineage(tokens.select("id", F.size("w").alias("len"), matched.alias("m")).select("id", "len", counted.alias("m")))
     n, mean = hits.select(F.count("*"), F.avg("len")).first()
-    tf = hits.select("id", "len", F.explode("m").alias("word")).groupBy("id", "len", "word").agg(F.count("*").alias("tf"))
+    tf = hits.select("id", "len", F.inline("m"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
@@ -37,11 +34,15 @@ def bm25(texts: DataFrame, query: list[str], k: int) -> DataFrame:
 
 def hash_vectors(texts: DataFrame, dim: int = 256) -> DataFrame:
     """id, place, value: sparse unit vectors of hashed word counts."""
-    tokens = texts.select("id", F.explode(words(F.col("text"))).alias("word"))
-    place = (F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dim).alias("place")
-    counts = tokens.groupBy("id", place).agg(F.count("*").cast("double").alias("c"))
-    length = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy("id")))
-    return counts.select("id", "place", (F.col("c") / length).alias("value"))
+    place = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim
+    places = texts.select("id", F.array_sort(F.transform(words(F.col("text")), place)).alias("p"))
+    # counted within the row: a place's count is the distance to the next place's first occurrence
+    firsts = F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: (i == 1) | (F.element_at("p", i) != F.element_at("p", F.greatest(i - 1, F.lit(1)))))
+    found = places.where("size(p) > 0").select("id", "p", firsts.alias("f"))
+    runs = F.transform("f", lambda x, i: F.struct(F.element_at("p", x).alias("place"), (F.coalesce(F.get("f", i + 1), F.size("p") + 1) - x).cast("double").alias("c")))
+    counts = found.select("id", runs.alias("r"))
+    length = F.sqrt(F.aggregate("r", F.lit(0.0), lambda s, x: s + x["c"] * x["c"]))
+    return counts.select("id", F.inline(F.transform("r", lambda x: F.struct(x["place"].alias("place"), (x["c"] / length).alias("value")))))
 
 
 def sparse_top(vectors: DataFrame, query: dict[int, float], k: int) -> DataFrame:
@@ -51,17 +52,18 @@ def sparse_top(vectors: DataFrame, query: dict[int, float], k: int) -> DataFrame
     return hits.orderBy(F.desc("score"), "id").limit(k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 4096) -> DataFrame:
-    """query_id, rank, id, score: the k largest cosines of each query, itself excluded.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 4096, own: bool = True) -> DataFrame:
+    """query_id, rank, id, score: the k largest cosines of each query.
 
     Queries (query_id, v) go to blocks of bounded size and candidates (id, v) to each of
-    them, so no side is broadcast whole and the join has a key.
+    them, so no side is broadcast whole and the join has a key. Norms are taken once a
+    vector. With own the query is a candidate's id and itself excluded.
     """
     blocks = max(1, -(-queries.count() // block_rows))
-    q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    c = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = c.alias("c").join(q.alias("q"), "block").where("c.id <> q.query_id")
-    scored = pairs.select("query_id", "id", F.round(cosine(F.col("c.v"), F.col("q.v")), 6).alias("score")).where("score IS NOT NULL")
+    q = queries.select("query_id", F.col("v").alias("qv"), norm(F.col("v")).alias("qn"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
+    c = vectors.select("id", "v", norm(F.col("v")).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    pairs = c.join(q, "block").where(F.col("id") != F.col("query_id")) if own else c.join(q, "block")
+    scored = pairs.select("query_id", "id", F.round(dot(F.col("v"), F.col("qv")) / F.nullif(F.col("n") * F.col("qn"), F.lit(0.0)), 6).alias("score")).where("score IS NOT NULL")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
