@@ -41,11 +41,3 @@ def admit(cards: DataFrame, words: DataFrame, least: float, window: float, max_i
     judged = cards.withColumn("_b", best).join(top, ["query_id", "id"], "left")
     near = F.col("score") >= F.greatest(F.lit(least), F.col("_b") - window)
     return judged.where((F.col("_b") >= least) & (near | F.col("_w").isNotNull())).drop("_b", "_w")
-
-
-def path_allowed(path: Column, excluded_dirs: list[str], extensions: list[str], size: Column, least: int = 24, most: int = 1_200_000) -> Column:
-    """Folder, extension and size rules of an intake as one predicate."""
-    parts = F.split(path, "/")
-    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    good = F.forall(folders, lambda d: ~F.lower(d).isin(excluded_dirs) & ~F.startswith(d, F.lit(".")))
-    return good & F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(extensions) & size.between(least, most)

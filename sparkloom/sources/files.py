@@ -1,4 +1,4 @@
-"""Folder scans: which files are read, and their text. Content is read only after the path filter."""
+"""Folder scans: which files are read, and their text. Only files that the path filter admits are opened."""
 
 from __future__ import annotations
 
@@ -64,11 +64,20 @@ def looks_binary(content: Column) -> Column:
 
 
 def folder_files(spark: SparkSession, root: str, store: str | None = None, **rules) -> DataFrame:
-    """path, modificationTime, length, content of each admitted file below root (a path or URI as Spark lists it)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    """path, modificationTime, length, content of each admitted file below root (a path or URI as Spark lists it).
+
+    Paths and lengths are listed and filtered first, without content; the driver then names
+    the admitted paths to a second read, as Spark's own listing holds all paths there.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     plain = lambda p: p if p is None or ":" not in p else p.split(":", 1)[1].replace("//", "", 1) if p.startswith("file:") else p
     path = F.regexp_replace("path", "^file:/*", "/")
-    return files.where(path_ok(path, F.col("length"), plain(root), plain(store), **rules))
+    named = listed.where(path_ok(path, F.col("length"), plain(root), plain(store), **rules))
+    literal = F.regexp_replace("path", r"([\[\]{}*?\\\\])", r"\\$1")  # a path is no pattern
+    paths = sorted(r[0] for r in named.select(literal).collect())
+    if not paths:
+        return spark.read.format("binaryFile").load(root).limit(0)
+    return spark.read.format("binaryFile").load(paths)
 
 
 def first_of_equal_content(files: DataFrame) -> DataFrame:

@@ -72,6 +72,11 @@ def turn_atoms(lines: DataFrame, tags: tuple[str, ...] = ("system-reminder",)) -
         F.coalesce(tools, none).alias("tools"),
         (F.unix_micros(F.try_to_timestamp(_get(F.col("v"), "$.timestamp"))) / 1e6).alias("at"),
     )
+    return _assembled(one)
+
+
+def _assembled(one: DataFrame) -> DataFrame:
+    """Turn atoms of rows (file, line, modified, compact, question, parts, tools, at): a question opens a turn."""
     turn = F.sum(F.col("question").isNotNull().cast("long")).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
     own = F.when(F.col("question").isNotNull(), F.col("at"))
     in_order = F.array_sort(F.collect_list(F.struct("line", "parts", "tools")))
@@ -86,3 +91,63 @@ def turn_atoms(lines: DataFrame, tags: tuple[str, ...] = ("system-reminder",)) -
     turns = turns.withColumn("text", _strip(F.concat("question", F.lit("\n\n"), "answer"))).where(F.length("text") >= LEAST_CHARS)
     ordinal = F.row_number().over(Window.partitionBy("file").orderBy("turn", F.desc("compact"))) - 1
     return turns.select("file", ordinal.alias("ordinal"), "question", "answer", "text", "at")
+
+
+# ---------------------------------------------------------------- the second agent's logs
+
+
+def session_meta(lines: DataFrame) -> DataFrame:
+    """file, id, cwd, subagent of each log whose first line describes a session."""
+    first = lines.groupBy("file").agg(F.min_by("value", "line").alias("value")).select("file", F.try_parse_json("value").alias("v"))
+    meta = first.where(_get(F.col("v"), "$.type") == "session_meta")
+    sub = F.try_variant_get("v", "$.payload.source.subagent", "variant").isNotNull()
+    return meta.select("file", _get(F.col("v"), "$.payload.id").alias("id"), _get(F.col("v"), "$.payload.cwd").alias("cwd"), sub.alias("subagent"))
+
+
+def sessions_below(lines: DataFrame, root: str) -> DataFrame:
+    """file of the logs whose recorded folder is root or below it; an agent's talk with itself is left out."""
+    at = F.regexp_replace("cwd", "/+$", "")
+    base = root.rstrip("/")
+    return session_meta(lines).where(~F.col("subagent") & ((at == base) | F.startswith(at, F.lit(base + "/")))).select("file")
+
+
+def recorded_folder(lines: DataFrame, most: int = 201) -> DataFrame:
+    """file, cwd: the first folder recorded among a log's first lines."""
+    near = lines.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("line"))).where(F.col("_n") <= most)
+    said = near.select("file", "_n", F.nullif(_get(F.try_parse_json("value"), "$.cwd"), F.lit("")).alias("cwd")).where("cwd IS NOT NULL")
+    return said.groupBy("file").agg(F.min_by("cwd", "_n").alias("cwd"))
+
+
+def last_compaction(lines: DataFrame) -> DataFrame:
+    """file, at: the last time that a log says its session was compacted."""
+    v = F.try_parse_json("value")
+    marked = lines.where(F.instr("value", "compact_boundary") > 0).select("file", v.alias("v")).where(_get(F.col("v"), "$.subtype") == "compact_boundary")
+    at = F.unix_micros(F.try_to_timestamp(_get(F.col("v"), "$.timestamp"))) / 1e6
+    return marked.groupBy("file").agg(F.max(at).alias("at")).where("at IS NOT NULL")
+
+
+def rollout_atoms(lines: DataFrame, tags: tuple[str, ...] = ("system-reminder",)) -> DataFrame:
+    """file, ordinal, question, answer, text, at of each turn of the second agent's logs; lines as for turn_atoms.
+
+    User and agent messages are events, tool calls response items; a call's line names its
+    command, path or query, else all its arguments.
+    """
+    one = lines.select("file", "line", "modified", F.try_parse_json("value").alias("v"))
+    one = one.withColumns({"kind": _get(F.col("v"), "$.type"), "what": _get(F.col("v"), "$.payload.type"), "said": _get(F.col("v"), "$.payload.message")})
+    asked = (F.col("kind") == "event_msg") & (F.col("what") == "user_message")
+    told = (F.col("kind") == "event_msg") & (F.col("what") == "agent_message")
+    called = (F.col("kind") == "response_item") & F.col("what").isin("function_call", "custom_tool_call")
+    args = F.coalesce(F.nullif(_get(F.col("v"), "$.payload.arguments"), F.lit("")), _get(F.col("v"), "$.payload.input"), F.lit(""))
+    given = F.try_parse_json(args)
+    field = lambda name: F.coalesce(F.array_join(F.try_variant_get(given, f"$.{name}", "array<string>"), " "), F.nullif(_get(given, f"$.{name}"), F.lit("")))
+    said = _strip(F.regexp_replace(F.coalesce(field("command"), field("path"), field("query"), args), r"\s+", " "))
+    line = F.concat(F.lit("["), F.coalesce(_get(F.col("v"), "$.payload.name"), F.lit("?")), F.lit("] "), F.when(F.length(said) <= 200, said).otherwise(F.concat(F.left(said, F.lit(200)), F.lit("…"))))
+    none = F.array().cast("array<string>")
+    rows = one.where(asked | told | called).select(
+        "file", "line", "modified", F.lit(False).alias("compact"),
+        F.when(asked, clean_user(F.col("said"), tags)).alias("question"),
+        F.coalesce(F.when(told & (_strip(F.col("said")) != ""), F.array(_strip(F.col("said")))), none).alias("parts"),
+        F.coalesce(F.when(called, F.array(line)), none).alias("tools"),
+        (F.unix_micros(F.try_to_timestamp(_get(F.col("v"), "$.timestamp"))) / 1e6).alias("at"),
+    )
+    return _assembled(rows)
