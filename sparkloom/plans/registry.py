@@ -40,8 +40,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- ranking
 
 ASKED = ["idiot", "anon", "pathetic", "the", "erste", "queque"]
-_LOW = f"translate(text, '{T.UPPER}', '{T.LOWER}')"
-_WORDS = f"words AS (SELECT doc_id AS id, regexp_extract_all({_LOW}, '[a-z0-9_]+') AS w FROM documents)"
+_WORDS = r"words AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents)"
 _ASKED = "(" + ", ".join(f"'{w}'" for w in ASKED) + ")"
 _BM25 = f"""{_WORDS}, st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM words),
 tf AS (SELECT id, len, word, count(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS word FROM words) WHERE word IN {_ASKED} GROUP BY ALL),
@@ -223,7 +222,7 @@ def paragraphs(spark, d):
 r AS (SELECT *, sum(s) OVER (PARTITION BY id ORDER BY position) AS run FROM t)
 SELECT id, (run - 1)::BIGINT AS position, md5(string_agg(text, chr(10) ORDER BY position)) AS digest FROM r GROUP BY id, run""")
 def merge_short_blocks(spark, d):
-    return segmentation.merge_short(_lines(spark, d), 40).select("id", "position", F.md5("text").alias("digest"))
+    return segmentation.merge_short(_lines(spark, d), 40, "\n").select("id", "position", F.md5("text").alias("digest"))
 
 
 @query("""WITH k AS (SELECT *, row_number() OVER w AS i FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -243,11 +242,10 @@ def chain_next(spark, d):
 @query("""SELECT conv_id || ':' || turn AS node, array_to_string(list(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), ',') AS before,
 array_to_string(list(turn) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), ',') AS after FROM conversations""")
 def lineage(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    turns = _t(spark, d, "conversations")
-    side = lambda a, b: F.coalesce(F.array_join(F.collect_list("turn").over(w.rowsBetween(a, b)), ","), F.lit(""))
-    empty = lambda c: F.when(c == "", None).otherwise(c)
-    return turns.select(F.concat_ws(":", "conv_id", "turn").alias("node"), empty(side(-4, -1)).alias("before"), empty(side(1, 4)).alias("after"))
+    turns = _t(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("node"))
+    sides = segmentation.lineage(turns, "conv_id", "turn", "node")
+    numbers = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: F.substring_index(x, ":", -1)), ","))
+    return sides.select("node", numbers("before").alias("before"), numbers("after").alias("after"))
 
 
 @query("""WITH u AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations)
@@ -266,10 +264,19 @@ def take_within_budget(spark, d):
     return context.take_within(turns, "conv_id", ["turn"], "role", "n", 1200, 2, 4).select("conv_id", "used", F.array_join("items", ",").alias("items"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '" + "|".join(T.SECRET_FORMATS) + "', '<secret>', 'g') = text AS clean, len(regexp_extract_all(text, '" + "|".join(T.SECRET_FORMATS) + "'))::INTEGER AS found FROM documents")
+_SECRET = r"""\b(uak_[A-Za-z0-9_-]{16,}|ak_[A-Za-z0-9_-]{20,}|ck_[A-Za-z0-9_-]{16,}|sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{20,}|xox[baprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|hf_[A-Za-z0-9]{20,}|AKIA[0-9A-Z]{16}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})\b"""
+_PLANTED = """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text || ' ghp_' || md5(text) || ' end' WHEN 1 THEN text || ' sk-a_' || md5(text) WHEN 2 THEN text || ' sk-short' WHEN 3 THEN text || ' AKIA' || upper(substr(md5(text), 1, 16)) || '.' ELSE text END AS text FROM documents"""
+
+
+@query(f"""WITH p AS ({_PLANTED}), f AS (SELECT *, regexp_extract_all(text, '{_SECRET}') AS s FROM p)
+SELECT doc_id, md5(regexp_replace(text, '{_SECRET}', '<secret>', 'g')) AS clean, len(s)::INTEGER AS found, CASE WHEN len(s) > 0 THEN CASE WHEN instr(s[1][1:8], '_') > 0 THEN split_part(s[1], '_', 1) ELSE s[1][1:4] END END AS head FROM f""")
 def scrub_secrets(spark, d):
-    done = _t(spark, d, "documents").select("doc_id", "text", T.scrubbed(F.col("text")).alias("s"))
-    return done.select("doc_id", (F.col("s.text") == F.col("text")).alias("clean"), F.col("s.found").alias("found"))
+    """Documents with planted tokens of some formats, and one that is too short."""
+    text, h = F.col("text"), F.md5("text")
+    planted = F.when(F.col("doc_id") % 5 == 0, F.concat(text, F.lit(" ghp_"), h, F.lit(" end"))).when(F.col("doc_id") % 5 == 1, F.concat(text, F.lit(" sk-a_"), h)).when(F.col("doc_id") % 5 == 2, F.concat(text, F.lit(" sk-short"))).when(F.col("doc_id") % 5 == 3, F.concat(text, F.lit(" AKIA"), F.upper(F.left(h, F.lit(16))), F.lit("."))).otherwise(text)
+    done = _t(spark, d, "documents").select("doc_id", T.scrubbed(planted).alias("s"))
+    head = F.regexp_extract("s.text", "<secret-removed:([^>]*)>", 1)
+    return done.select("doc_id", F.md5(F.regexp_replace("s.text", "<secret-removed:[^>]*>", "<secret>")).alias("clean"), F.col("s.found").alias("found"), F.when(F.col("s.found") > 0, head).alias("head"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE rtrim(text[1:80], ' ') || ' …' END AS clipped, left(sha256(text), 16) AS hash FROM documents")
@@ -387,11 +394,17 @@ def temporal_affinity(spark, d):
 
 # ---------------------------------------------------------------- graphs
 
-_EDGES = f"{_KNN}, edges AS (SELECT query_id AS src, id AS dst FROM knn), ends AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM edges WHERE src <> dst)"
+#: Parts (even numbers) and the suppliers (odd) of their line items; customers (even) and their orders (odd).
+_EDGES = """edges AS (SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem), ends AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM edges WHERE src <> dst)"""
+_PURCHASES = "edges AS (SELECT o_custkey * 2 AS src, o_orderkey * 2 + 1 AS dst FROM orders)"
 
 
 def _edges(spark, d):
-    return _knn(spark, d).select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
+    return _t(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).distinct()
+
+
+def _purchases(spark, d):
+    return _t(spark, d, "orders").select((F.col("o_custkey") * 2).alias("src"), (F.col("o_orderkey") * 2 + 1).alias("dst"))
 
 
 @query(f"WITH {_EDGES} SELECT node, count(*) AS degree FROM (SELECT u AS node FROM ends UNION ALL SELECT v FROM ends) GROUP BY node")
@@ -400,30 +413,51 @@ def graph_degrees(spark, d):
 
 
 @query(f"""WITH {_EDGES}, dg AS (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM ends UNION ALL SELECT v FROM ends) GROUP BY node),
-a AS (SELECT coalesce(degree, 0) AS degree FROM embeddings LEFT JOIN dg ON node = vec_id), p AS (SELECT list_sort(list(degree)) AS s FROM a WHERE degree > 0)
+nodes AS (SELECT p_partkey * 2 AS id FROM part UNION ALL SELECT s_suppkey * 2 + 1 FROM supplier),
+a AS (SELECT coalesce(degree, 0) AS degree FROM nodes LEFT JOIN dg ON node = id), p AS (SELECT list_sort(list(degree)) AS s FROM a WHERE degree > 0)
 SELECT count(*) AS n, (sum(degree) // 2)::BIGINT AS m, round(sum(degree) / count(*), 6) AS c, count_if(degree = 0)::BIGINT AS isolated, max(degree) AS max_degree, (SELECT s[len(s) // 2 + 1] FROM p) AS median_degree FROM a""")
 def graph_summary(spark, d):
-    return graph.summary(_t(spark, d, "embeddings").select(F.col("vec_id").alias("node")), _edges(spark, d))
+    return graph.summary(_nodes(spark, d), _edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, bi AS (SELECT u AS a, v AS b FROM ends UNION ALL SELECT v, u FROM ends),
+def _nodes(spark, d):
+    return _t(spark, d, "part").select((F.col("p_partkey") * 2).alias("node")).unionByName(_t(spark, d, "supplier").select((F.col("s_suppkey") * 2 + 1).alias("node")))
+
+
+@query(f"""WITH RECURSIVE {_PURCHASES}, bi AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 r AS (SELECT DISTINCT a AS node, a AS root FROM bi UNION SELECT r.node, b.b FROM r JOIN bi b ON b.a = r.root) SELECT node, min(root) AS root FROM r GROUP BY node""")
 def graph_components(spark, d):
-    return graph.components(_edges(spark, d))
+    return graph.components(_purchases(spark, d))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, bi AS (SELECT u AS a, v AS b FROM ends UNION ALL SELECT v, u FROM ends),
-r AS (SELECT 0::BIGINT AS node, 0 AS hop UNION SELECT e.b, r.hop + 1 FROM r JOIN bi e ON e.a = r.node WHERE r.hop < 3)
+r AS (SELECT 3::BIGINT AS node, 0 AS hop UNION SELECT e.b, r.hop + 1 FROM r JOIN bi e ON e.a = r.node WHERE r.hop < 2)
 SELECT node, min(hop) AS hop FROM r GROUP BY node""")
 def impact_hops(spark, d):
+    """From the first supplier to its parts and their other suppliers."""
     e = _edges(spark, d)
-    return graph.reach(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), spark.range(1).select(F.col("id").alias("node")), 3)
+    return graph.reach(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), spark.range(3, 4).select(F.col("id").alias("node")), 2)
+
+
+def _rank_rounds(rounds: int) -> str:
+    """The rounds as a chain of tables."""
+    steps = ["r0 AS (SELECT node, d, p, 1.0::DOUBLE / (SELECT count(*) FROM ns) AS rank FROM ns)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"r{i} AS (SELECT r.node, r.d, r.p, 0.85::DOUBLE * (coalesce(f.flow, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i - 1} WHERE d = 0) * r.p) + (1 - 0.85::DOUBLE) * r.p AS rank FROM r{i - 1} r LEFT JOIN (SELECT bi.b AS node, sum(q.rank / q.d) AS flow FROM bi JOIN r{i - 1} q ON q.node = bi.a GROUP BY bi.b) f ON f.node = r.node)")
+    return ", ".join(steps)
+
 
+RANK_ROUNDS = 8
 
-@query()
+
+@query(f"""WITH {_EDGES}, bi AS (SELECT u AS a, v AS b FROM ends UNION ALL SELECT v, u FROM ends), dg AS (SELECT a AS node, count(*) AS d FROM bi GROUP BY a),
+seeds AS (SELECT * FROM (VALUES (3::BIGINT, 1.0::DOUBLE), (4, 0.5), (-1, 0.5)) AS t(node, w)),
+ns AS (SELECT coalesce(dg.node, seeds.node) AS node, coalesce(d, 0) AS d, coalesce(w, 0) / (SELECT sum(w) FROM seeds) AS p FROM dg FULL JOIN seeds ON seeds.node = dg.node), {_rank_rounds(RANK_ROUNDS)}
+SELECT node, round(rank, 7) AS rank FROM r{RANK_ROUNDS}""")
 def personalised_pagerank(spark, d):
-    seeds = spark.createDataFrame([(0, 1.0), (100, 0.5)], "node long, weight double")
-    return graph.pagerank(_edges(spark, d), seeds)
+    """A fixed number of rounds from a supplier, a part and a node without links."""
+    seeds = spark.createDataFrame([(3, 1.0), (4, 0.5), (-1, 0.5)], "node long, weight double")
+    return graph.pagerank(_edges(spark, d), seeds, rounds=RANK_ROUNDS, tolerance=0.0).select("node", F.round("rank", 7).alias("rank"))
 
 
 # ---------------------------------------------------------------- plain analytics
@@ -451,8 +485,12 @@ def corpus_stats(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from sparkloom.plans import memory  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from sparkloom.plans import memory  # noqa: F401
+
     return dict(_SQL)
