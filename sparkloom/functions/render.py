@@ -23,7 +23,7 @@ def note_line(note: Column, limit: int = 200) -> Column:
 
 def two_places(score: Column) -> Column:
     """A score with two decimals, halves by the binary value, as in C's printf."""
-    return F.format_number(score, 2)
+    return F.replace(F.format_number(score, 2), F.lit(","))
 
 
 def recall_item(index: Column, day: Column, file: Column, score: Column, text: Column, notes: Column, limit: Column, note_limit: int = 200) -> Column:

@@ -35,6 +35,7 @@ def ranked_lists(store: Store, queries: DataFrame, vectors: DataFrame, n: int) -
 
     queries: query_id, text; vectors: query_id, space, v. Stored vectors have space, id, v.
     """
+    vectors = vectors.join(queries.select("query_id"), "query_id", "left_semi")
     out = fulltext.find_words(store, "entries", queries, n).withColumn("list_no", F.lit(0))
     for i, row in enumerate(vectors.select("space").distinct().orderBy("space").collect(), 1):  # a handful of spaces
         stored = store.rows("vectors", empty="space string, id string, v array<double>").where(F.col("space") == row.space).select("id", "v")

@@ -128,7 +128,7 @@ def project_outline(texts: DataFrame) -> DataFrame:
 def structure_texts(files: DataFrame, project: str, most: int = 200) -> DataFrame:
     """top, text: a listing of files (path below the root, length, mtime, kind), one for all up to `most`, else one a top folder."""
     top = F.when(F.instr("path", "/") == 0, F.lit(".")).otherwise(F.substring_index("path", "/", 1))
-    entry = F.concat("path", F.lit("  ["), "kind", F.lit(", "), F.format_number(F.col("length") / 1024, "0.0"), F.lit("KB, "), F.date_format(F.timestamp_seconds("mtime"), "yyyy-MM-dd"), F.lit("]"))
+    entry = F.concat("path", F.lit("  ["), "kind", F.lit(", "), F.replace(F.format_number(F.col("length") / 1024, 1), F.lit(",")), F.lit("KB, "), F.date_format(F.timestamp_seconds("mtime"), "yyyy-MM-dd"), F.lit("]"))
     rows = files.select(F.when(F.lit(files.count() <= most), F.lit("root")).otherwise(top).alias("top"), top.alias("folder"), "path", entry.alias("entry"))
     gathered = rows.groupBy("top").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("folder", "path", "entry"))).alias("e"))
     head = F.concat(F.lit(f"Structure of {project}"), F.when(F.col("top") == "root", F.lit("")).otherwise(F.concat(F.lit(", "), "top")), F.lit(" ("), F.col("n").cast("string"), F.lit(" files):\n"))

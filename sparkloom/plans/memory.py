@@ -644,11 +644,11 @@ def seam_lines(spark, d):
     return code.seam_lines(nodes.select(F.col("file").alias("id")), edges.unionByName(extra), nodes)
 
 
-@query("SELECT p_partkey, round(p_retailprice, 2) AS price, format('{:.2f}', round(p_retailprice / 1000, 3)) AS shown, left(p_name, 9) AS cut, '- [2024-01-01 · ' || p_brand || '] ' || left(p_name, 12) AS line FROM part")
+@query("SELECT p_partkey, round(p_retailprice, 2) AS price, format('{:.2f}', round(p_retailprice, 3)) AS shown, left(p_name, 9) AS cut, '- [2024-01-01 · ' || p_brand || '] ' || left(p_name, 12) AS line FROM part")
 def rendered_lines(spark, d):
     part = _t(spark, d, "part")
     line = render.recent_line(F.lit("2024-01-01"), F.col("p_brand"), F.col("p_name"), 12)
-    return part.select("p_partkey", F.round("p_retailprice", 2).alias("price"), F.replace(render.two_places(F.round(F.col("p_retailprice") / 1000, 3)), F.lit(",")).alias("shown"), render.cut(F.col("p_name"), 9).alias("cut"), line.alias("line"))
+    return part.select("p_partkey", F.round("p_retailprice", 2).alias("price"), render.two_places(F.round(F.col("p_retailprice"), 3)).alias("shown"), render.cut(F.col("p_name"), 9).alias("cut"), line.alias("line"))
 
 
 @query("SELECT vec_id, (list_position([30, 5, 12, 5, 9999], vec_id::INTEGER) - 1)::INTEGER AS pos, label FROM embeddings WHERE vec_id IN (30, 5, 12, 9999)")
