@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import temporal_affinity
-from sparkloom.functions.vectors import dot, norm
+from sparkloom.functions.vectors import dot, unit
 from sparkloom.operators.lineage import cut_lineage
 from sparkloom.operators.selection import first_per
 
@@ -126,7 +126,7 @@ def centroids(nodes: DataFrame, by: str) -> DataFrame:
     """by, v: the unit mean vector of each group, summed before it is shuffled."""
     mean = nodes.select(by, F.posexplode("v").alias("i", "x")).groupBy(by, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     whole = mean.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("m"))
-    return whole.select(by, F.transform("m", lambda x: x / F.nullif(norm(F.col("m")), F.lit(0.0))).alias("v"))
+    return whole.select(by, unit(F.col("m")).alias("v"))
 
 
 def file_graph(centres: DataFrame, least: float = 0.72) -> DataFrame:

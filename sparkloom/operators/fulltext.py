@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import words
+from sparkloom.functions.vectors import runs
 from sparkloom.operators.search import B, K1
 from sparkloom.sources.store import Store
 
@@ -14,13 +15,10 @@ NO_HITS = "query_id bigint, place int, id string, score double, via string"
 
 def postings(texts: DataFrame) -> DataFrame:
     """word, id, tf, len from (id, text): counted within the row, so nothing is shuffled."""
-    tokens = texts.select("id", words(F.col("text")).alias("w"))
-    tokens = tokens.select("id", F.size("w").alias("len"), F.array_sort("w").alias("w"))
-    # a sorted word's count is the distance to the next word's first place
-    firsts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == 1) | (F.element_at("w", i) != F.element_at("w", F.greatest(i - 1, F.lit(1)))))
-    placed = tokens.where("len > 0").select("id", "len", "w", firsts.alias("f"))
-    runs = F.transform("f", lambda x, i: F.struct(F.element_at("w", x).alias("word"), (F.coalesce(F.get("f", i + 1), F.col("len") + 1) - x).alias("tf")))
-    return placed.select("id", "len", F.inline(runs)).select("word", "id", F.col("tf").cast("int").alias("tf"), "len")
+    tokens = texts.select("id", F.sort_array(words(F.col("text"))).alias("w"))
+    counted = tokens.select("id", F.size("w").alias("len"), runs(F.col("w")).alias("r"))
+    # outer, as the filter that an inner one implies would be pushed below all of this and do it twice
+    return counted.select("id", "len", F.inline_outer("r").alias("word", "tf")).where("word IS NOT NULL").select("word", "id", "tf", "len")
 
 
 def index_words(store: Store, name: str, texts: DataFrame, out: str | None = None) -> int:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import words
-from sparkloom.functions.vectors import dot, norm
+from sparkloom.functions.vectors import dot, let, norm, runs
 from sparkloom.operators.lineage import cut_lineage
 
 K1, B = 1.2, 0.75
@@ -35,14 +35,12 @@ def bm25(texts: DataFrame, query: list[str], k: int) -> DataFrame:
 def hash_vectors(texts: DataFrame, dim: int = 256) -> DataFrame:
     """id, place, value: sparse unit vectors of hashed word counts."""
     place = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim
-    places = texts.select("id", F.array_sort(F.transform(words(F.col("text")), place)).alias("p"))
-    # counted within the row: a place's count is the distance to the next place's first occurrence
-    firsts = F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: (i == 1) | (F.element_at("p", i) != F.element_at("p", F.greatest(i - 1, F.lit(1)))))
-    found = places.where("size(p) > 0").select("id", "p", firsts.alias("f"))
-    runs = F.transform("f", lambda x, i: F.struct(F.element_at("p", x).alias("place"), (F.coalesce(F.get("f", i + 1), F.size("p") + 1) - x).cast("double").alias("c")))
-    counts = found.select("id", runs.alias("r"))
-    length = F.sqrt(F.aggregate("r", F.lit(0.0), lambda s, x: s + x["c"] * x["c"]))
-    return counts.select("id", F.inline(F.transform("r", lambda x: F.struct(x["place"].alias("place"), (x["c"] / length).alias("value")))))
+    # counted within the row: nothing is shuffled, and the length is taken once a text
+    places = texts.select("id", F.sort_array(F.transform(words(F.col("text")), place)).alias("p"))
+    counts = places.select("id", runs(F.col("p")).alias("r"))
+    length = F.sqrt(F.aggregate("r", F.lit(0.0), lambda s, x: s + x["n"] * x["n"]))
+    # outer, as the filter that an inner one implies would be pushed below all of this and do it twice
+    return counts.select("id", F.inline_outer(let(length, lambda n: F.transform("r", lambda x: F.struct(x["value"].alias("place"), (x["n"] / n).alias("value")))))).where("place IS NOT NULL")
 
 
 def sparse_top(vectors: DataFrame, query: dict[int, float], k: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.vectors import norm
+from sparkloom.functions.vectors import let, norm
 
 #: Largest size of a number that an adapter takes.
 LARGEST = 1e6
@@ -74,7 +74,7 @@ def adapt(vector: Column, matrix: Sequence[Sequence[float]]) -> Column:
     """vector @ matrix at length 1, 6 decimals; a zero product stays zero."""
     columns = [F.array(*(F.lit(float(row[j])) for row in matrix)) for j in range(len(matrix[0]))]
     dots = F.transform(F.array(*columns), lambda c: F.aggregate(F.zip_with(vector, c, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x))
-    return F.transform(dots, lambda x: F.when(norm(dots) == 0, F.lit(0.0)).otherwise(F.round(x / norm(dots), 6) + F.lit(0.0)))
+    return let(dots, lambda y: let(norm(y), lambda n: F.transform(y, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(F.round(x / n, 6) + F.lit(0.0)))))
 
 
 def carry(vectors: DataFrame, matrix: Sequence[Sequence[float]], vector: str = "v", out: str = "carried") -> DataFrame:
