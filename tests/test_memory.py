@@ -266,3 +266,35 @@ def test_search_choice_and_layers(spark):
     links = spark.createDataFrame([("f0", "f2", 0.9), ("f0", "f3", 0.8)], "u string, v string, similarity double")
     got = archive.search_by_file(nodes, archive.centroids(nodes, "file"), links, [1.0, 0.1, 0.0, 0.0], 9, 1, 2).collect()
     assert {r.id for r in got} == {0, 2}
+
+
+def test_facade_indexes_and_answers(spark, tmp_path):
+    from sparkloom.operators import facade
+
+    store = Store(spark, str(tmp_path / "home"), 2)
+    texts = spark.createDataFrame([("n.md", "The table store holds vectors.\n\nSee m/x.py and `load` for the loader.\n\nNothing here.", 1.76e9), ("o.md", "Unrelated words.", 1.76e9)], "file string, text string, at double")
+    nodes = spark.createDataFrame([("m.load", "load", "Function", "m/x.py", 1, 9), ("m.read", "read", "Function", "m/x.py", 10, 12)], facade.NODE)
+    links = spark.createDataFrame([("m.load", "m.read", "CALLS", 0), ("m.load", "m.gone", "CALLS", 1)], facade.EDGE)
+    stats = facade.index(store, texts, 500, nodes, links, 32)
+    assert (stats["atoms"], stats["live"], stats["code"], stats["spaces"], stats["files"]) == (4, 4, 2, 1, 2)
+    edges = {(r.src, r.dst, r.kind) for r in store.rows("edges").collect()}
+    loader = next(r.id for r in store.rows("entries").collect() if "loader" in r.text)
+    assert {(loader, "file:m/x.py", "mentions"), (loader, "m.load", "mentions"), ("m.load", "m.read", "CALLS"), ("dir:", "dir:m", "contains")} <= edges
+    assert not any("m.gone" in e for e in edges)
+    asked = spark.createDataFrame([(1, "which loader")], "query_id long, text string")
+    vectors = facade.hashed(asked.select(F.col("query_id").alias("id"), "text"), 32).select(F.col("id").alias("query_id"), F.lit("hash").alias("space"), "v")
+    block = facade.ask(store, asked, vectors, 2000, limit=2)
+    assert block.split("\n")[0].startswith("[atom n.md] See m/x.py") and "[function m/x.py] m.load" in block
+    around, inner = facade.ego_graph(store, loader)
+    assert {r.id for r in around.collect()} >= {loader, "m.load", "file:m/x.py"} and inner.count() >= 2
+    card = facade.node(store, loader).first()
+    assert card.text == card.answer and [s.text for s in card.lineage][1].startswith("See") and len(card.lineage) == 3
+    with pytest.raises(ValueError):
+        facade.open_home(store, "hash=other:model@32")
+    with pytest.raises(ValueError):
+        facade.write_vectors(store, "hash", spark.createDataFrame([("a", [1.0])], "id string, v array<double>"))
+    facade.write_vectors(store, "other", store.rows("vectors").select("id", "v"))
+    assert facade.bridge(store, "other", "hash") == 4 and len(facade.read_adapter(store, "other", "hash")) == 32 and facade.read_adapter(store, "a", "b") == []
+    facade.open_home(store, "other=x:y@32")
+    routes = {(r.space, r.how, r.source) for r in facade.query_routes(store, spark.createDataFrame([("other",)], "space string")).collect()}
+    assert routes == {("other", "direct", "other"), ("hash", "adapter", "other")}
