@@ -112,17 +112,16 @@ class Store:
         there = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.home}/{name}/{part}"))]
         return part, [d.removeprefix("_bucket=") for d in there if d.startswith("_bucket=")]
 
-    def put(self, name: str, keys: Sequence[str], rows: DataFrame, seq: str | None = None) -> int:
+    def put(self, name: str, keys: Sequence[str], rows: DataFrame, seq: str | None = None, whole: bool = False) -> int:
         """Upsert by keys; the table's number of rows. Of input rows of one key the last by seq stays.
 
+        With whole a key may have several rows, and those put take the place of all it had.
         Without rows nothing is created. Only buckets that the input touches are read and
         rewritten; their old rows meet the input in an anti-join on the key.
         """
         keys = list(keys)
-        if seq is not None:
-            rows = last_wins(rows.withColumn("_key", F.struct(*keys)), "_key", seq).drop("_key").select(rows.columns)
-        else:
-            rows = rows.dropDuplicates(keys)
+        if not whole:
+            rows = rows.dropDuplicates(keys) if seq is None else last_wins(rows.withColumn("_key", F.struct(*keys)), "_key", seq).drop("_key").select(rows.columns)
         manifest = self._manifest(name)
         buckets = manifest["buckets"] if manifest else self.buckets
         if manifest is None:
@@ -137,7 +136,7 @@ class Store:
         schema = StructType.fromJson(manifest["schema"])
         rows = rows.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields))
         old = self._read(manifest, name, [b for b in manifest["parts"] if b in touched])
-        part, mine = self._write(name, rows.unionByName(old.join(rows.select(*keys), keys, "left_anti")), keys, buckets)
+        part, mine = self._write(name, rows.unionByName(old.join(rows.select(*keys), keys, "left_anti").select(rows.columns)), keys, buckets)
         self._commit(name, manifest | {"parts": manifest["parts"] | dict.fromkeys(mine, part)})
         return self.count(name)
 

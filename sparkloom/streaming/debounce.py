@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.sync import plan_sync
+from sparkloom.sources.store import Store
 
 
 def settled(events: DataFrame, keys: list[str], ts: str, seq: str, gap: str) -> DataFrame:
@@ -24,25 +25,25 @@ def settled_stream(events: DataFrame, keys: list[str], ts: str, gap: str, latene
     )
 
 
-def sync_batches(path: str):
+def sync_batches(path: str, buckets: int = 16):
     """A foreachBatch function that keeps, at path, the action log of successive versions of files.
 
     Each micro-batch (file, digest, position, id) holds whole files; it is planned against
-    what earlier batches left of them and the plan is appended under its batch id, so a
-    replayed batch overwrites its own part.
+    their stored state, of which only the files' buckets are read, and the plan is written
+    under its batch id before the state changes. A replayed batch that the state already has
+    is passed over; one that died before overwrites its own plan.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        out = f"{path}/state"
-        jvm = spark.sparkContext._jvm
-        there = jvm.org.apache.hadoop.fs.Path(out)
-        exists = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
-        empty = batch.limit(0).withColumn("batch", F.lit(-1))
-        stored = spark.read.parquet(out).where(F.col("batch") < batch_id) if exists else empty
+        if batch.isEmpty():
+            return
+        store = Store(batch.sparkSession, f"{path}/tables", buckets)
         files = batch.select("file").distinct()
-        newest = stored.withColumn("_b", F.max("batch").over(Window.partitionBy("file"))).where("batch = _b").drop("_b", "batch")
-        plan_sync(newest.join(files, "file", "left_semi"), batch).write.mode("overwrite").parquet(f"{path}/plan/batch={batch_id}")
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        state = batch.select("file", "digest", "position", "id", F.lit(batch_id).alias("batch"))
+        stored = store.rows("state", keys=files).join(files, "file", "left_semi") if store.exists("state") else state.limit(0)
+        if not stored.where(F.col("batch") >= batch_id).isEmpty():
+            return
+        plan_sync(stored.drop("batch"), batch).write.mode("overwrite").parquet(f"{path}/plan/batch={batch_id}")
+        store.put("state", ["file"], state, whole=True)
 
     return run

@@ -72,3 +72,8 @@ def test_settled_stream_and_synced_batches(spark, tmp_path):
     run(version([("f", "q", 0, "2")]), 1)
     got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/sync/plan").select("batch", "action").collect()}
     assert got == {(0, "add"), (1, "add"), (1, "retract"), (1, "revise")}
+    run(version([("f", "q", 0, "2")]), 1)  # a replay changes nothing
+    run(version([("g", "p", 0, "3"), ("g", "r", 1, "4")]), 2)
+    run(version([("g", "r", 0, "5")]), 3)
+    got = sorted((r.batch, r.action) for r in spark.read.parquet(f"{tmp_path}/sync/plan").collect())
+    assert got == [(0, "add"), (1, "add"), (1, "retract"), (1, "revise"), (2, "add"), (2, "add"), (3, "keep"), (3, "retract")]
