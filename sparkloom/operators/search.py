@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import words
-from sparkloom.functions.vectors import dot, let, norm, runs
+from sparkloom.functions.vectors import dot, norm, runs
 from sparkloom.operators.lineage import cut_lineage
 
 K1, B = 1.2, 0.75
@@ -32,22 +32,31 @@ def bm25(texts: DataFrame, query: list[str], k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def hash_vectors(texts: DataFrame, dim: int = 256) -> DataFrame:
-    """id, place, value: sparse unit vectors of hashed word counts."""
+def _hash_counts(texts: DataFrame, dim: int) -> DataFrame:
+    """id, r (array of place and count), length of each text's hashed words: counted within the row, nothing is shuffled."""
     place = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim
-    # counted within the row: nothing is shuffled, and the length is taken once a text
     places = texts.select("id", F.sort_array(F.transform(words(F.col("text")), place)).alias("p"))
     counts = places.select("id", runs(F.col("p")).alias("r"))
-    length = F.sqrt(F.aggregate("r", F.lit(0.0), lambda s, x: s + x["n"] * x["n"]))
+    return counts.select("id", "r", F.sqrt(F.aggregate("r", F.lit(0.0), lambda s, x: s + x["n"] * x["n"])).alias("length"))
+
+
+def hash_vectors(texts: DataFrame, dim: int = 256) -> DataFrame:
+    """id, place, value: sparse unit vectors of hashed word counts."""
+    unit = F.transform("r", lambda x: F.struct(x["value"].alias("place"), (x["n"] / F.col("length")).alias("value")))
     # outer, as the filter that an inner one implies would be pushed below all of this and do it twice
-    return counts.select("id", F.inline_outer(let(length, lambda n: F.transform("r", lambda x: F.struct(x["value"].alias("place"), (x["n"] / n).alias("value")))))).where("place IS NOT NULL")
+    return _hash_counts(texts, dim).select("id", F.inline_outer(unit)).where("place IS NOT NULL")
 
 
-def sparse_top(vectors: DataFrame, query: dict[int, float], k: int) -> DataFrame:
-    """id, score: cosine of sparse unit vectors with a sparse unit query."""
+def hashed_top(texts: DataFrame, query: dict[int, float], k: int, dim: int = 256) -> DataFrame:
+    """id, score: the k best cosines of hashed word counts with a sparse unit query, of texts that share a place with it.
+
+    The products are taken within the row, so only a score leaves it.
+    """
     weight = F.create_map(*[F.lit(x) for pair in sorted(query.items()) for x in pair])
-    hits = vectors.where(F.col("place").isin(*query)).groupBy("id").agg(F.round(F.sum(F.col("value") * weight[F.col("place").cast("int")]), 6).alias("score"))
-    return hits.orderBy(F.desc("score"), "id").limit(k)
+    hit = F.filter("r", lambda x: x["value"].isin(*query))
+    product = F.aggregate(hit, F.lit(0.0), lambda s, x: s + x["n"] / F.col("length") * F.element_at(weight, x["value"].cast("int")))
+    scored = _hash_counts(texts, dim).select("id", F.when(F.size(hit) > 0, F.round(product, 6)).alias("score"))
+    return scored.orderBy(F.desc_nulls_last("score"), "id").limit(k).where("score IS NOT NULL")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 4096, own: bool = True) -> DataFrame:

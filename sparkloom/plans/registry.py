@@ -83,7 +83,7 @@ SELECT id, round(sum(1.0::DOUBLE / (60 + place)), 6) AS score, arg_min(via, no)
 def rrf_fuse(spark, d):
     texts = _texts(spark, d)
     lexical = search.bm25(texts, ASKED, 60)
-    near = search.sparse_top(search.hash_vectors(texts), _query_vector(), 60)
+    near = search.hashed_top(texts, _query_vector(), 60)
     return search.fuse([("lexical", lexical), ("hash", near)])
 
 
