@@ -27,7 +27,10 @@ def docs(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def test_ngram_components_match_brute_force(docs):
+@pytest.mark.parametrize("block, side, hot", [(ngram_join.BLOCK, ngram_join.SIDE, ngram_join.HOT), (2, 3, 1), (3, 2, 1 << 20)])
+def test_ngram_components_match_brute_force(docs, monkeypatch, block, side, hot):
+    for name, value in (("BLOCK", block), ("SIDE", side), ("HOT", hot)):  # small ones split blocks and grids, and leave most shared shingles cold
+        monkeypatch.setattr(ngram_join, name, value)
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs).collect()}
     rows = [(r.doc_id, (r.text or "").split()) for r in docs.collect()]
     sets = [(d, {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}) for d, w in rows]
@@ -68,6 +71,13 @@ def test_mix_meets_targets_and_limits(docs):
     assert mixing.words_taken(*mixing.mix_sources(docs.limit(0))).count() == 0
 
 
+def test_mix_is_the_same_by_broadcast_and_by_salted_joins(docs, monkeypatch):
+    rows = lambda: sorted(map(str, mixing.words_taken(*mixing.mix_sources(docs, block=16)).collect()))
+    one = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert rows() == one
+
+
 def test_mix_cuts_the_last_slot_when_every_block_is_used(spark):
     # sources of one block and of several, whose incomplete pass needs all blocks
     sizes = {"a": 3000, "b": 200, "c": 500}
