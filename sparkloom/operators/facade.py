@@ -165,7 +165,7 @@ def ask(store: Store, queries: DataFrame, vectors: DataFrame, budget: int, limit
     top = hits.agg(F.max("similarity")).first()[0]
     if top is None:
         return ""
-    ranks = graph.pagerank(store.rows("edges", empty=EDGE), hits.select(F.col("id").alias("node"), (F.col("similarity") / top).alias("weight")), rounds=rounds)
+    ranks = graph.pagerank(store.rows("edges", empty=EDGE), hits.select(F.col("id").alias("node"), (F.col("similarity") / top).alias("weight")), rounds=rounds).withColumn("rank", F.round("rank", 9))
     near = ranks.join(hits.select(F.col("id").alias("node")), "node", "left_anti").where(~F.startswith("node", F.lit("dir:")) & ~F.startswith("node", F.lit("src:")))
     near = near.orderBy(F.desc("rank"), "node").limit(limit).select(F.col("node").alias("id"), (1000 + F.row_number().over(Window.orderBy(F.desc("rank"), "node"))).alias("place"))
     texts = store.rows("entries", empty=ledger.ENTRY).select("id", F.lit("atom").alias("kind"), F.col("file").alias("ref"), "text")

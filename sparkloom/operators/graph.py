@@ -93,4 +93,4 @@ def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: in
         if (moved or 0.0) < n * tolerance:
             break
     release(links)
-    return rank.select("node", F.round("rank", 9).alias("rank"))
+    return rank.select("node", "rank")

@@ -46,7 +46,7 @@ def fuse_layers(layers: dict[str, DataFrame], k: int = 60) -> DataFrame:
         above = above.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most 8193 parts
         placed = pairs.withColumn("r", within).join(above, "part").select("u", "v", (F.col("r") + F.col("before")).alias("place"))
         every = placed if every is None else every.unionByName(placed)
-    return every.groupBy("u", "v").agg(F.round(F.sum(1 / (F.lit(k + 1) + F.col("place"))), 9).alias("similarity"))
+    return every.groupBy("u", "v").agg(F.sum(1 / (F.lit(k + 1) + F.col("place"))).alias("similarity"))
 
 
 def threshold(edges: DataFrame, least: float) -> DataFrame:
