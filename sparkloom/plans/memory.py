@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import marks, render
 from sparkloom.functions import text as T
-from sparkloom.operators import archive, code, context, fulltext, ledger, proximity, relations, retrieval, segmentation, selection
+from sparkloom.operators import archive, code, context, facade, fulltext, growth, ledger, proximity, relations, retrieval, segmentation, selection
 from sparkloom.operators.lineage import shared_folder
 from sparkloom.plans.registry import _CLAIMS, _EDGES, _HEADS, _KNN, _SQUASH, _VEC, _edges, _knn, _lines, _LINE_SQL, _links, _nodes, _t, query
 from sparkloom.sources import intake
@@ -462,6 +462,31 @@ def grafted_graph(spark, d):
     return proximity.graft(_proposed(spark, d).join(labels, "u"), "label", 4)
 
 
+def _grown(spark, d, **relations):
+    """An archive for each source's documents of one language, over hashed words; two hours between numbers that follow each other."""
+    docs = _t(spark, d, "documents").where("doc_id IS NOT NULL").withColumn("id", F.col("doc_id").cast("string"))
+    about = docs.select("id", F.concat_ws("/", "source", "lang").alias("project"), F.col("doc_id").alias("seq"), F.concat(F.lit("f"), F.col("doc_id") % 3).alias("file"), F.lit(None).cast("string").alias("folder"), F.col("source").alias("session"), (F.col("doc_id") * 7200.0).alias("at"), "text")
+    return growth.grow(about.join(facade.hashed(docs.select("id", "text"), 256), "id"), "project", relations=relations or None)
+
+
+@query()
+def grown_nodes(spark, d):
+    """Where each document lands; order-dependent, held against worked cases and a replay of its states in the tests."""
+    return _grown(spark, d)[0]
+
+
+@query()
+def grown_links(spark, d):
+    """The links of the same archives, with relations under a degree budget."""
+    return _grown(spark, d, seed=1)[1]
+
+
+@query()
+def grown_branches(spark, d):
+    """The branches of the same archives and the state they end in."""
+    return _grown(spark, d)[2].drop("centroid")
+
+
 @query(f"""WITH {_EDGES}, dg AS (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM ends UNION ALL SELECT v FROM ends) GROUP BY node), nodes AS (SELECT p_partkey * 2 AS id FROM part UNION ALL SELECT s_suppkey * 2 + 1 FROM supplier),
 a AS (SELECT coalesce(degree, 0) AS degree FROM nodes LEFT JOIN dg ON node = id), t AS (SELECT count(*) AS n, sum(degree) / 2 AS m, list_sort(list(degree)) AS s FROM a), x AS (SELECT n, m, s, 2.0::DOUBLE * m / n AS c, ln(n) AS l FROM t)
 SELECT n, m::BIGINT AS m, round(c, 2) AS c, ((s[(n - 1) // 2 + 1] + s[n // 2 + 1]) / 2)::INTEGER AS median, s[n] AS max_degree, round(l, 2) AS ln_n, greatest(2, ceil(3 * l))::INTEGER AS budget, c >= 3 * l AS connected, len(list_filter(s, lambda y: y = 0))::BIGINT AS isolated, round(100 * exp(-c), 2) AS isolated_random_pct, greatest(1, ceil(l / ln(c)))::INTEGER AS depth, round(100.0 * list_sum(list_reverse_sort(s)[1:greatest(1, n // 100)]) / (2 * m), 1)::DOUBLE AS hot_share_pct FROM x""")
