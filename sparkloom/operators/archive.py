@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import temporal_affinity
+from sparkloom.functions.text import day, temporal_affinity
 from sparkloom.functions.vectors import dot, unit
+from sparkloom.operators import relations
+from sparkloom.operators.context import entropy
 from sparkloom.operators.lineage import cut_lineage
 from sparkloom.operators.selection import first_per
 
@@ -68,6 +70,14 @@ def unresolved(nodes: DataFrame, edges: DataFrame, branches: DataFrame, limit: i
     return rows.select("branch", "id", "text", "root_similarity", "file", "index").orderBy(F.desc("root_similarity"), "id").limit(limit)
 
 
+def open_threads(nodes: DataFrame, edges: DataFrame, now: float, days: int = 14, most: int = 5) -> DataFrame:
+    """place, day, file, text of the latest loose heads of the last days, as a brief takes them: the question if there is one."""
+    recent = nodes.where((F.col("status") != "retracted") & (F.col("at") >= now - days * 86400.0)).join(loose_heads(nodes, edges).select("id"), "id", "left_semi")
+    first = recent.orderBy(F.desc("at"), "index").limit(most)
+    place = F.row_number().over(Window.orderBy(F.desc("at"), "index"))
+    return first.select(place.alias("place"), day(F.col("at")).alias("day"), "file", F.coalesce(F.nullif("question", F.lit("")), "text").alias("text"))
+
+
 def typed_edges(edges: DataFrame, nodes: DataFrame, kind: str, node: str | None = None, branch: str | None = None, file: str | None = None, limit: int = 100, chars: int = 200) -> DataFrame:
     """The first edges (by seq) of a kind, at a node, or with an end in a branch or a file; with the ends' texts."""
     side = lambda x: nodes.select(F.col("id").alias(x), F.left("text", F.lit(chars)).alias(f"{x}_text"), F.col("branch").alias(f"{x}_branch"), F.col("file").alias(f"{x}_file"))
@@ -210,3 +220,116 @@ def decisions_markdown(decisions: DataFrame, title: str = "Decisions") -> DataFr
     line = F.concat(F.lit("- "), "day", F.lit(" **"), "kind", F.lit("** ("), "source", F.when(F.col("closed"), F.lit(", closed")).otherwise(F.lit("")), F.lit("): "), "new_text", F.lit(" ← "), "old_text")
     rows = decisions.select(F.struct((-F.col("at")).alias("k"), line.alias("line")).alias("r"))
     return rows.agg(F.concat(F.lit(f"# {title}\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), "\n")).alias("text"))
+
+
+# ---------------------------------------------------------------- an archive as one text
+
+
+def latest(edges: DataFrame) -> DataFrame:
+    """id, current: what each replaced node's chain of 'supersedes' ends in; of several replacements the first by seq counts, a cycle ends nowhere."""
+    replaced = edges.where("kind = 'supersedes'").select("src", "dst", "kind", (-F.col("seq")).alias("valid_at"), F.lit(0.0).alias("invalid_at"))
+    return relations.current_versions(replaced).where("current IS NOT NULL")
+
+
+def snapshot(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, budget: int = 6000) -> DataFrame:
+    """query, position, id, branch, tag, semantic, temporal, weight, tokens, piece, overflow: what a question's seeds bring along.
+
+    seeds: query, place, id. First the seeds and the current versions of replaced ones, then
+    their typed relations, then the last atoms of all their branches; each node once, under
+    its first tag, as long as its piece fits the budget. A seed that doesn't fit is passed
+    over; after the first piece that doesn't fit no relation or lineage follows (overflow).
+    Positions go by index. A weight is 0.6 of semantic (1 for seeds, else the likeness to
+    the root) and 0.4 of how near in time the first seed is. Unknown seeds are left out; the
+    fold sees one question's candidates.
+    """
+    known = nodes.select("id", "branch", "index", "at", "text", "status", "root_similarity")
+    asked = seeds.join(known.select("id"), "id", "left_semi").join(latest(edges), "id", "left")
+    tag = F.when(F.col("current").isNull(), "SEED").otherwise(F.concat(F.lit("SEED_SUPERSEDED_BY_"), F.left(F.col("current").cast("string"), F.lit(8))))
+    piece = lambda phase, order, ident, tag, chars: (F.lit(phase).alias("phase"), order.alias("order"), ident.alias("id"), tag.alias("tag"), F.lit(chars).alias("chars"))
+    at = lambda a, b: F.struct(F.col(a).cast("long").alias("a"), (b if not isinstance(b, str) else F.col(b)).cast("long").alias("b"))
+    first = asked.select("query", *piece(0, at("place", F.lit(0)), F.col("id"), tag, 500))
+    newer = asked.where("current IS NOT NULL").select("query", *piece(0, at("place", F.lit(1)), F.col("current"), F.lit("CURRENT_VERSION"), 500))
+    core = cut_lineage(first_per(first.unionByName(newer), ["query", "id"], [F.col("order")]))
+    typed = edges.where(F.col("kind").isin(*RELATIONS))
+    ends = typed.select(F.col("src").alias("id"), F.col("dst").alias("other"), "kind", "seq").unionByName(typed.select(F.col("dst").alias("id"), F.col("src").alias("other"), "kind", "seq"))
+    related = core.join(ends, "id").select("query", *piece(1, at("order.a", "seq"), F.col("other"), F.upper("kind"), 250))
+    near = core.unionByName(first_per(related, ["query", "id"], [F.col("order")]))
+    branches = near.join(known.select("id", "branch"), "id").groupBy("query", "branch").agg(F.min(F.struct("phase", "order")).alias("_first"))
+    placed = branches.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("_first", "branch")))
+    last = known.withColumn("_k", F.row_number().over(Window.partitionBy("branch").orderBy(F.desc("index")))).where("_k <= 15")
+    lineage = placed.join(last, "branch").select("query", *piece(2, at("_n", "index"), F.col("id"), F.lit("LINEAGE"), 150))
+    every = first_per(near.unionByName(lineage), ["query", "id"], [F.col("phase"), F.col("order")]).join(known, "id")
+    body = F.left("text", F.col("chars"))
+    lines = every.withColumns({"tokens": F.greatest(F.lit(1), F.expr("length(left(text, chars)) div 4").cast("int")), "piece": F.concat(F.lit("["), "tag", F.lit(" | "), F.left(F.col("id").cast("string"), F.lit(8)), F.lit(" | status="), F.coalesce("status", F.lit("active")), F.lit("]\n"), body, F.lit("\n"))})
+
+    def step(acc, row):
+        tries = (row["phase"] == 0) | ~acc["over"]
+        fits = tries & (F.length(row["piece"]) <= acc["left"])
+        return F.struct(
+            F.when(fits, acc["left"] - F.length(row["piece"])).otherwise(acc["left"]).alias("left"), (acc["over"] | (tries & ~fits)).alias("over"),
+            F.when(fits, F.concat(acc["taken"], F.array(row["index"]))).otherwise(acc["taken"]).alias("taken"),
+        )
+
+    empty = F.struct(F.lit(budget).alias("left"), F.lit(False).alias("over"), F.array().cast(f"array<{nodes.schema['index'].dataType.simpleString()}>").alias("taken"))
+    held = lines.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("phase", "order", "piece", "index"))).alias("_rows"))
+    taken = held.select("query", F.aggregate("_rows", empty, step).alias("_a")).select("query", F.col("_a.over").alias("overflow"), F.explode("_a.taken").alias("index"))
+    when = asked.join(known.select("id", "at"), "id").groupBy("query").agg(F.min_by("at", "place").alias("_at"))
+    kept = taken.join(lines, ["query", "index"]).join(when, "query")
+    semantic, temporal = F.when(F.col("phase") == 0, 1.0).otherwise(F.col("root_similarity")), temporal_affinity(F.col("at"), F.col("_at"), 30.0)
+    position = F.row_number().over(Window.partitionBy("query").orderBy("index")) - 1
+    return kept.select("query", position.alias("position"), "id", "branch", "tag", F.round(semantic, 4).alias("semantic"), F.round(temporal, 4).alias("temporal"), F.round(0.6 * semantic + 0.4 * temporal, 4).alias("weight"), "tokens", "piece", "overflow")
+
+
+def snapshot_blocks(taken: DataFrame) -> DataFrame:
+    """query, block, tokens, entropy, overflow: the pieces of each snapshot as one text; entropy says how evenly weight is spread."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", "piece"))), lambda x: x["piece"])
+    return taken.groupBy("query").agg(F.array_join(ordered, "\n---\n").alias("block"), F.sum("tokens").alias("tokens"), F.round(entropy(F.greatest("weight", F.lit(1e-9))), 4).alias("entropy"), F.max("overflow").alias("overflow"))
+
+
+def full_text(nodes: DataFrame, edges: DataFrame, branches: DataFrame, chars: int = 4000, with_dormant: bool = True) -> DataFrame:
+    """section, folder, file, index, line: a whole archive as lines to be ordered by section, folder, file and index.
+
+    Sections: 1 loose ends, 2 contradictions, 3 every text by folder and file, where a
+    replaced text is a pointer to its current version. No line is gathered with others, so
+    an archive may be of any size.
+    """
+    file = F.coalesce(F.col("file"), F.lit(""))
+    folder = F.regexp_extract(file, "^(.*)/[^/]*$", 1)
+    ends = loose_heads(nodes, edges).join((branches if with_dormant else branches.where("NOT dormant")).select(F.col("id").alias("branch")), "branch", "left_semi").select("id")
+    open_ = nodes.join(ends, "id").select(F.lit(1).alias("section"), F.lit("").alias("folder"), file.alias("file"), F.col("index").cast("long").alias("index"), F.concat(F.lit("- ["), file, F.lit("] "), F.left("text", F.lit(200))).alias("line"))
+    text = lambda x: nodes.select(F.col("id").alias(x), F.left("text", F.lit(150)).alias(f"{x}_text"))
+    against = edges.where("kind = 'contradicts'").join(text("src"), "src").join(text("dst"), "dst")
+    clash = against.select(F.lit(2), F.lit(""), F.lit(""), F.col("seq").cast("long"), F.concat(F.lit("- «"), "src_text", F.lit("» contradicts «"), "dst_text", F.lit("»")))
+    pointed = nodes.join(latest(edges), "id", "left")
+    again = F.when(F.col("reinforced") > 0, F.concat(F.lit("  [repeated "), F.col("reinforced").cast("string"), F.lit(" times]"))).otherwise(F.lit(""))
+    line = F.when(F.col("current").isNotNull(), F.concat(F.lit("[outdated, see "), F.left(F.col("current").cast("string"), F.lit(8)), F.lit("] "), F.left("text", F.lit(150)))).otherwise(F.concat(F.left("text", F.lit(chars)), again))
+    return open_.union(clash).union(pointed.select(F.lit(3), folder, file, F.col("index").cast("long"), line))
+
+
+def outline(texts: DataFrame, name: str) -> DataFrame:
+    """One row, project, domains, modules, concepts, text: what a project's documents (path from its root, text) say it is about.
+
+    Documents are Markdown files, those called README, ARCHITECTURE or INSTALL, and what
+    lies in a folder docs. Modules are the first 50 headings of the first two levels and
+    concepts the first 100 names in backticks or inner capitals, both sorted; the project is
+    called as the deepest, last README's first heading, else name. Hidden folders don't count.
+    """
+    parts = F.split("path", "/")
+    base = F.upper(F.element_at(parts, -1))
+    seen = texts.where(~F.exists(parts, lambda p: F.startswith(p, F.lit("."))))
+    domains = seen.where(F.size(parts) > 1).select(F.get(parts, F.lit(0)).alias("x"))
+    in_docs = F.lower(F.coalesce(F.get(parts, F.size(parts) - 2), F.lit(""))) == "docs"
+    named = F.endswith(base, F.lit(".MD")) | F.startswith(base, F.lit("README")) | F.startswith(base, F.lit("ARCHITECTURE")) | F.startswith(base, F.lit("INSTALL")) | in_docs
+    docs = seen.where(named & F.col("text").isNotNull())
+    found = lambda pattern, group=1: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    headings = docs.select(F.explode(F.transform(found(r"(?m)^[^\S\n]*#{1,2}[^\S\n]+(.+)$"), lambda x: F.trim(x))).alias("x"))
+    concepts = docs.select(F.explode(F.concat(found("`([a-zA-Z0-9_./-]{3,40})`"), found(r"\b([A-Z][a-zA-Z0-9]{2,}(?:[A-Z][a-zA-Z0-9]*)+)\b"))).alias("x"))
+    listed = lambda rows, n=None: (rows.distinct() if n is None else rows.distinct().orderBy("x").limit(n)).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    title = docs.where(F.startswith(base, F.lit("README"))).withColumn("t", F.regexp_extract("text", r"(?m)^#[^\S\n]+(.+)$", 1)).where("t <> ''")
+    called = title.agg(F.max_by(F.trim("t"), F.struct(F.size(parts), "path")).alias("t")).select(F.coalesce("t", F.lit(name)).alias("project"))
+    row = called
+    for column, rows in (("domains", listed(domains)), ("modules", listed(headings, 50)), ("concepts", listed(concepts, 100))):
+        row = row.crossJoin(rows.withColumnRenamed("x", column))  # one row by one row
+    line = lambda head, items: F.when(F.size(items) > 0, F.concat(F.lit(head), F.array_join(items, ", ")))
+    text = F.concat_ws("\n", F.concat(F.lit("Project: "), "project"), line("Domains: ", F.col("domains")), line("Modules: ", F.slice("modules", 1, 30)), line("Concepts: ", F.slice("concepts", 1, 50)))
+    return row.withColumn("text", text)

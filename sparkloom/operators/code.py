@@ -255,3 +255,25 @@ def resolve_references(refs: DataFrame, cards: DataFrame, common: list[str]) ->
     rank = F.when(F.col("file") == F.col("src_file"), 0).when(F.col("_last").isin(common) if common else F.lit(False), None).when(F.col("qn") == F.col("name"), 1).when(folder(F.col("file")) == folder(F.col("src_file")), 2).otherwise(3)
     best = first_per(met.withColumn("_rank", rank).where("_rank IS NOT NULL"), ["ref"], [F.col("_rank"), F.col("target")]).select("ref", "target")
     return refs.join(best, "ref", "left")
+
+
+# ---------------------------------------------------------------- cards
+
+
+def card_text(cards: DataFrame) -> DataFrame:
+    """id, text that stands for a card (id, kind, subkind, qn, docstring, known): what it is, its docstring, and what is known of its meaning.
+
+    known maps names to values; of purpose, architectural_role and side_effects_summary those
+    that are known appear, in this order.
+    """
+    facts = [F.when(F.col("known")[n].isNotNull() & (F.col("known")[n] != "Unknown"), F.concat(F.lit(f"{n}: "), F.col("known")[n])) for n in ("purpose", "architectural_role", "side_effects_summary")]
+    head = F.concat("kind", F.lit(":"), "subkind", F.lit(" "), "qn")
+    return cards.select("id", F.concat_ws("\n", head, F.nullif("docstring", F.lit("")), *facts).alias("text"))
+
+
+def card_faults(fields: DataFrame) -> DataFrame:
+    """The fields (value, confidence, evidence, ...) that claim something without evidence, or a value without confidence, with the fault."""
+    none = F.col("confidence") == "none"
+    empty = F.coalesce(F.size("evidence"), F.lit(0)) <= 0
+    fault = F.when(empty & ~none, "confidence without evidence").when(none & F.col("value").isNotNull() & (F.col("value") != "Unknown"), "value without confidence")
+    return fields.withColumn("fault", fault).where("fault IS NOT NULL")

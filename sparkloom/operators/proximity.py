@@ -302,3 +302,20 @@ def aligned(pairs: DataFrame, train: float = 0.7, gate: float = 0.8, seed: int =
         return matrix, 0.0, False
     mean = pairs.where(held).agg(F.avg(cosine(adapt(F.col("src"), matrix), F.col("dst")))).first()[0] or 0.0
     return matrix, mean, mean >= gate
+
+
+def recall_at(ranked: DataFrame, evidence: DataFrame, kinds: DataFrame, at: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """way, kind, k, questions, recall: how often evidence is among the first k, in percent, for each way of ranking.
+
+    ranked: way, question, rank, id; evidence: question, id; kinds: question, kind. A
+    question without evidence doesn't count; one that a way finds nothing for is a miss. The
+    kind 'all' is over all questions.
+    """
+    counted = kinds.join(evidence.select("question").distinct(), "question", "left_semi")
+    best = ranked.join(evidence.distinct(), ["question", "id"], "left_semi").groupBy("way", "question").agg(F.min("rank").alias("rank"))
+    asked = ranked.select("way").distinct().join(F.broadcast(counted.groupBy("kind").agg(F.count("*").alias("n"))), F.lit(True))  # one row a kind
+    hits = best.join(counted, "question").withColumn("k", F.explode(F.array(*map(F.lit, at)))).groupBy("way", "kind", "k").agg(F.count_if(F.col("rank") <= F.col("k")).alias("hits"))
+    every = asked.withColumn("k", F.explode(F.array(*map(F.lit, at)))).join(hits, ["way", "kind", "k"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    share = lambda rows, *by: rows.groupBy(*by).agg(F.sum("n").alias("questions"), F.round(100.0 * F.sum("hits") / F.sum("n"), 1).alias("recall"))
+    whole = share(every, "way", "k").withColumn("kind", F.lit("all"))
+    return share(every, "way", "kind", "k").unionByName(whole)

@@ -627,6 +627,40 @@ def decisions_markdown(spark, d):
     return archive.decisions_markdown(relations.decisions(links, entries, 40))
 
 
+@query(f"""WITH {_ARCHIVE}, {_SEQ}, h AS (SELECT branch, max(id) AS id FROM nodes GROUP BY branch), loose AS (SELECT id, branch FROM h WHERE id NOT IN (SELECT parent FROM nodes WHERE parent IS NOT NULL)),
+cur AS (SELECT DISTINCT dst FROM sq WHERE kind = 'supersedes' AND src > dst AND src <> dst)
+SELECT 1 AS section, file, id AS place, '- [' || file || '] ' || left(text, 200) AS line FROM nodes WHERE id IN (SELECT id FROM loose WHERE branch % 3 <> 0)
+UNION ALL SELECT 2, '', seq, '- «' || left(a.text, 150) || '» contradicts «' || left(b.text, 150) || '»' FROM sq JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE kind = 'contradicts'
+UNION ALL SELECT 3, file, id, CASE WHEN id IN (SELECT dst FROM cur) THEN '[outdated]' ELSE left(text, 400) || CASE WHEN id % 7 > 0 THEN '  [repeated ' || id % 7 || ' times]' ELSE '' END END FROM nodes""")
+def archive_text(spark, d):
+    """The archive as lines; replacements by later things only, so that no chain is a cycle, and pointers without their target."""
+    edges = _numbered(spark, d).where("kind <> 'supersedes' OR src > dst")
+    rows = archive.full_text(_archive(spark, d).withColumn("reinforced", F.col("id") % 7), edges, _branches(spark, d), 400, with_dormant=False)
+    outdated = F.startswith("line", F.lit("[outdated, see ")) & (F.col("section") == 3)
+    return rows.select("section", "file", F.col("index").alias("place"), F.when(outdated, "[outdated]").otherwise(F.col("line")).alias("line"))
+
+
+@query(f"""WITH {_ARCHIVE}, h AS (SELECT branch, max(id) AS id FROM nodes GROUP BY branch), l AS (SELECT * FROM nodes WHERE id IN (SELECT id FROM h) AND id NOT IN (SELECT parent FROM nodes WHERE parent IS NOT NULL) AND at_s >= 100 * 86400.0)
+SELECT row_number() OVER (ORDER BY at_s DESC, id)::INTEGER AS place, strftime(epoch_ms((at_s * 1000)::BIGINT), '%Y-%m-%d') AS day, file, text FROM l ORDER BY at_s DESC, id LIMIT 5""")
+def open_threads(spark, d):
+    edges = spark.createDataFrame([], "src long, dst long, kind string")
+    return archive.open_threads(_archive(spark, d), edges, 114 * 86400.0)
+
+
+@query(f"""WITH {_KNN}, ranked AS (SELECT 'near' AS way, query_id AS question, rank, id FROM knn UNION ALL SELECT 'far', query_id, 21 - rank, id FROM knn WHERE rank <= 20), kinds AS (SELECT vec_id AS question, 'k' || label % 3 AS kind, label FROM embeddings WHERE vec_id % 100 = 0),
+evidence AS (SELECT k.question, e.vec_id AS id FROM kinds k JOIN embeddings e ON e.label = k.label WHERE e.vec_id <> k.question), asked AS (SELECT DISTINCT question, kind FROM kinds JOIN evidence USING (question)), ways AS (SELECT unnest(['near', 'far']) AS way, unnest([1, 5]) AS k1), ks AS (SELECT unnest([1, 5, 10]) AS k),
+h AS (SELECT w.way, a.kind, ks.k, a.question, EXISTS (SELECT 1 FROM ranked r JOIN evidence e ON e.question = r.question AND e.id = r.id WHERE r.way = w.way AND r.question = a.question AND r.rank <= ks.k) AS hit FROM asked a, ways w, ks)
+SELECT way, coalesce(kind, 'all') AS kind, k, count(*) AS questions, round(100.0 * count_if(hit) / count(*), 1)::DOUBLE AS recall FROM h GROUP BY GROUPING SETS ((way, kind, k), (way, k))""")
+def recall_at_k(spark, d):
+    """Vectors of the query's label are evidence; neighbours in order and in reverse are the two ways."""
+    found = _knn(spark, d).select(F.col("query_id").alias("question"), "rank", "id")
+    ranked = found.select(F.lit("near").alias("way"), "question", "rank", "id").unionByName(found.select(F.lit("far").alias("way"), "question", (21 - F.col("rank")).alias("rank"), "id"))
+    labels = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    asked = labels.where("id % 100 = 0").select(F.col("id").alias("question"), "label")
+    evidence = asked.join(labels, "label").where("id <> question").select("question", "id")
+    return proximity.recall_at(ranked, evidence, asked.select("question", F.concat(F.lit("k"), (F.col("label") % 3).cast("string")).alias("kind")), (1, 5, 10))
+
+
 @query(f"WITH {_ARCHIVE}, {_SEQ} SELECT src, dst, kind, left(a.text, 30) AS src_text, left(b.text, 30) AS dst_text FROM sq LEFT JOIN nodes a ON a.id = src LEFT JOIN nodes b ON b.id = dst WHERE kind = 'contradicts' AND (a.branch = 3 OR b.branch = 3) ORDER BY seq LIMIT 50")
 def typed_edges(spark, d):
     return archive.typed_edges(_numbered(spark, d), _archive(spark, d), "contradicts", branch=3, limit=50, chars=30)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import io
+import re
 import tokenize
 import zipfile
 from collections.abc import Iterator
@@ -12,6 +14,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Folders, names and extensions that the intake knows.
 EXCLUDED_DIRS = """.git .hg .svn .idea .vscode __pycache__ .ipynb_checkpoints node_modules .venv venv env
@@ -175,6 +178,46 @@ def module_symbols(path: str, source: str | None) -> list[tuple]:
     return out
 
 
+def _complexity(source: str | None) -> list[tuple[str, int]]:
+    """(dotted name, 1 + branching constructs inside) of each function of a source."""
+    branching = (ast.If, ast.For, ast.While, ast.Try, ast.With, ast.BoolOp, ast.ExceptHandler)
+    try:
+        todo: list[tuple[ast.AST, str]] = [(ast.parse(source or ""), "")]
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    out = []
+    for node, owner in todo:  # grows while it is read
+        for child in ast.iter_child_nodes(node):
+            name = f"{owner}.{child.name}".lstrip(".") if isinstance(child, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) else owner
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                out.append((name, 1 + sum(isinstance(x, branching) for x in ast.walk(child))))
+            todo.append((child, name))
+    return out
+
+
+def complexities(texts: DataFrame) -> DataFrame:
+    """path, name, complexity of each function of each Python source (path, source)."""
+
+    def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in tables:
+            yield pd.DataFrame([(p, *r) for p, s in zip(t["path"], t["source"], strict=True) for r in _complexity(s)], columns=["path", "name", "complexity"])
+
+    return texts.select("path", "source").mapInPandas(run, "path string, name string, complexity int")
+
+
+@F.pandas_udf(StringType())
+def normal_digest(texts: pd.Series) -> pd.Series:
+    """32 hex digits of a text's BLAKE2b that line ends and white space at the end of lines and of the text don't change; null for null."""
+
+    def one(text: str | None) -> str | None:
+        lines = [line.rstrip() for line in re.split(r"\r\n|\r|\n", text)] if text is not None else []
+        while lines and not lines[-1]:
+            lines.pop()
+        return None if text is None else hashlib.blake2b("\n".join(lines).encode("utf-8", "replace"), digest_size=16).hexdigest()
+
+    return texts.map(one)
+
+
 def python_symbols(texts: DataFrame) -> DataFrame:
     """kind, src, dst, label, start, end of each Python source (path, source); what does not parse gives no rows."""
     names = ["kind", "src", "dst", "label", "start", "end"]
