@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, chat_format, exact_topk, language_id, mixing, ngram_join, packing, token_counts, toxicity, url_filter
+from sparkloom.llm import ann, chat_format, exact_topk, importance, language_id, mixing, ngram_join, packing, token_counts, toxicity, url_filter
 from sparkloom.llm.common import word_count
 
 URL_RULES = [url_filter.parse_rule(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
@@ -67,6 +67,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 _SPACED = r"'[^ \t\n\x0B\x0C\r]+'"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -137,11 +142,43 @@ WITH p AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM f
 """
 
+# CRC32 by its table of 256 values, each from eight steps of the polynomial; words are hashed once each
+OP11_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+), tab AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(LOWERED, WORDS), []) AS w FROM documents),
+b AS (SELECT coalesce(regexp_extract_all(LOWERED, WORDS), []) AS w FROM benchmark),
+words AS MATERIALIZED (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(w) AS word FROM d) GROUP BY ALL),
+aims AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM b) GROUP BY ALL),
+buckets AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)),
+    lambda acc, x: xor(acc >> 8, t[(xor(acc, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM words UNION SELECT word FROM aims), tab
+),
+raw AS (SELECT bucket, sum(n)::BIGINT AS s FROM words JOIN buckets USING (word) GROUP BY bucket),
+aim AS (SELECT bucket, sum(n)::BIGINT AS t FROM aims JOIN buckets USING (word) GROUP BY bucket),
+sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM raw)::DOUBLE AS all_raw, (SELECT coalesce(sum(t), 0) FROM aim)::DOUBLE AS all_aim),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (all_raw + 10000)) / ((coalesce(raw.s, 0) + 1)::DOUBLE * (all_aim + 10000))))::BIGINT AS gain
+  FROM (SELECT DISTINCT bucket FROM buckets) LEFT JOIN raw USING (bucket) LEFT JOIN aim USING (bucket), sums
+),
+weights AS (SELECT r, sum(n * gain)::HUGEINT AS total, sum(n)::BIGINT AS n FROM words JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT d.r, doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce((total - (((total % n) + n) % n)) // n, 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM d LEFT JOIN weights USING (r)
+),
+able AS (SELECT r, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS FIRST) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN place <= 10 * able.n // 100 THEN place END AS rank FROM scored LEFT JOIN able USING (r)
+""".replace("LOWERED", _LOWER).replace("WORDS", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'")
+
 
 def queries() -> dict:
-    named = (op1_token_counts, op2_mixing, op3_language_id, op4_ngram_jaccard_join, op5_best_fit_packing, op6_chat_formatting, op7_nearest_neighbours, op8_toxicity, op9_exact_top_k, op10_url_filters)
+    named = (op1_token_counts, op2_mixing, op3_language_id, op4_ngram_jaccard_join, op5_best_fit_packing, op6_chat_formatting, op7_nearest_neighbours, op8_toxicity, op9_exact_top_k, op10_url_filters, op11_importance_resampling)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": OP4_SQL, "op6_chat_formatting": OP6_SQL, "op7_nearest_neighbours": OP7_SQL, "op9_exact_top_k": OP9_SQL, "op10_url_filters": OP10_SQL}
+    return {"op4_ngram_jaccard_join": OP4_SQL, "op6_chat_formatting": OP6_SQL, "op7_nearest_neighbours": OP7_SQL, "op9_exact_top_k": OP9_SQL, "op10_url_filters": OP10_SQL, "op11_importance_resampling": OP11_SQL}
