@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, chat_format, exact_topk, importance, language_id, mixing, ngram_join, packing, token_counts, toxicity, url_filter
+from sparkloom.llm import alignment, ann, chat_format, exact_topk, importance, language_id, mixing, ngram_join, packing, token_counts, toxicity, url_filter
 from sparkloom.llm.common import word_count
 
 URL_RULES = [url_filter.parse_rule(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
@@ -72,6 +72,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digest(_table(spark, sf_dir, "documents"))
+
+
 _SPACED = r"'[^ \t\n\x0B\x0C\r]+'"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -176,7 +180,7 @@ SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN place <= 1
 
 
 def queries() -> dict:
-    named = (op1_token_counts, op2_mixing, op3_language_id, op4_ngram_jaccard_join, op5_best_fit_packing, op6_chat_formatting, op7_nearest_neighbours, op8_toxicity, op9_exact_top_k, op10_url_filters, op11_importance_resampling)
+    named = (op1_token_counts, op2_mixing, op3_language_id, op4_ngram_jaccard_join, op5_best_fit_packing, op6_chat_formatting, op7_nearest_neighbours, op8_toxicity, op9_exact_top_k, op10_url_filters, op11_importance_resampling, op13_tokenizer_alignment)
     return {f.__name__: f for f in named}
 
 
