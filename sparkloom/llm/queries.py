@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import alignment, ann, chat_format, exact_topk, importance, language_id, mixing, ngram_join, packing, token_counts, toxicity, url_filter
+from sparkloom.llm import alignment, ann, chat_format, exact_topk, html_extract, importance, language_id, mixing, ngram_join, packing, token_counts, toxicity, url_filter
 from sparkloom.llm.common import word_count
 
 URL_RULES = [url_filter.parse_rule(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
@@ -72,6 +72,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    texts = html_extract.main_texts(pages, html_extract.fit_blocks(pages), into="text")
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digest(_table(spark, sf_dir, "documents"))
 
@@ -179,10 +185,23 @@ SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN place <= 1
 """.replace("LOWERED", _LOWER).replace("WORDS", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'")
 
 
+# these pages have their main text in <article>; the labeller isn't told so
+OP12_SQL = r"""
+WITH cut AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)(?:</article>|$)', 1), '(?i)</?(?:p|h[1-6]|ul|ol|li|div|blockquote|section|table|tr|td|th|pre)(?:\s[^>]*)?>') AS parts FROM pages
+), clean AS (
+  SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '(?i)<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;', '&'), '&amp', '&'),
+    '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM cut
+)
+SELECT page_id, url, array_to_string(lines, chr(10)) AS text, length(array_to_string(lines, chr(10)))::BIGINT AS n_chars FROM clean
+"""
+
+
 def queries() -> dict:
-    named = (op1_token_counts, op2_mixing, op3_language_id, op4_ngram_jaccard_join, op5_best_fit_packing, op6_chat_formatting, op7_nearest_neighbours, op8_toxicity, op9_exact_top_k, op10_url_filters, op11_importance_resampling, op13_tokenizer_alignment)
+    named = (op1_token_counts, op2_mixing, op3_language_id, op4_ngram_jaccard_join, op5_best_fit_packing, op6_chat_formatting, op7_nearest_neighbours, op8_toxicity, op9_exact_top_k, op10_url_filters, op11_importance_resampling, op12_html_extraction, op13_tokenizer_alignment)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": OP4_SQL, "op6_chat_formatting": OP6_SQL, "op7_nearest_neighbours": OP7_SQL, "op9_exact_top_k": OP9_SQL, "op10_url_filters": OP10_SQL, "op11_importance_resampling": OP11_SQL}
+    return {"op4_ngram_jaccard_join": OP4_SQL, "op6_chat_formatting": OP6_SQL, "op7_nearest_neighbours": OP7_SQL, "op9_exact_top_k": OP9_SQL, "op10_url_filters": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op12_html_extraction": OP12_SQL}
