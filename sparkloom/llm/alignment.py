@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: texts are cut there and each distinct part is encoded once: "ab  cd ef" is "ab  cd", "ef".
 PART = re.compile(r"(?<=\S) (?=\S)")
 #: Distinct parts, and their characters, that a Python worker remembers; memory only.
-PARTS, CHARACTERS = 300_000, 16_000_000
+PARTS, CHARACTERS = 400_000, 24_000_000
 #: Characters of parts that are encoded in one call.
 CALL = 1 << 16
 #: Pairs of ids whose corpus counts are broadcast (about 50 bytes each): the most frequent
@@ -56,7 +57,9 @@ class Aligner:
         self.cut = not any("▁" in p.lstrip("▁") for p in listed)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(listed)]
         self.a_length, self.b_length = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        # an id behind each of the separators of written groups
+        self.then, self.over, self.next = (np.array([sign + n for n in names], object) for sign in ",|;")
         self.forget()
 
     def forget(self) -> None:
@@ -69,59 +72,78 @@ class Aligner:
     def parts(self, text: str) -> list[str]:
         return PART.split(text) if self.cut else [text]
 
-    def _a_ids(self, parts: list[str]) -> list[list[int]]:
-        """A's ids of blank + part, for each part; parts between visible characters are encoded many at once."""
-        out: list[list[int]] = [[]] * len(parts)
-        plain = [i for i, p in enumerate(parts) if p and not p[0].isspace() and not p[-1].isspace()] if self.cut else []
-        alone = sorted(set(range(len(parts))) - set(plain))
-        for lo, hi in batches([len(parts[i]) + 1 for i in plain], CALL):
-            some = plain[lo:hi]
-            ids = self.a.encode("".join(" " + parts[i] for i in some), add_special_tokens=False).ids
-            ends = np.cumsum(self.a_length[ids])
-            wanted = np.cumsum([len(parts[i].encode()) + 1 for i in some])
-            last = np.searchsorted(ends, wanted)
-            if len(ends) == 0 or last[-1] >= len(ends) or (ends[last] != wanted).any():
-                alone += some
-                continue
-            begin = 0
-            for i, end in zip(some, (last + 1).tolist()):
-                out[i], begin = ids[begin:end], end
-        for i in alone:
-            out[i] = self.a.encode(" " + parts[i], add_special_tokens=False).ids
-        return out
+    def _ids(self, parts: list[str], ends: np.ndarray, side: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of blank + part for all parts in a row, how many each has), for parts of which `ends` are the ends in bytes."""
+        length = self.a_length if side == "a" else self.b_length
+        encode = (lambda t: self.a.encode(t, add_special_tokens=False).ids) if side == "a" else (lambda t: self.b.encode(t[1:]))
+        ids, counts, at = [], [], 0
+        for lo, hi in batches(np.diff(ends, prepend=0).tolist(), CALL):
+            some = np.array(encode("".join(" " + p for p in parts[lo:hi])), np.int64)
+            token_ends, wanted = np.cumsum(length[some]), ends[lo:hi] - at
+            last = np.searchsorted(token_ends, wanted)
+            if len(some) and last[-1] == len(some) - 1 and (token_ends[last] == wanted).all():
+                counts.append(np.diff(last, prepend=-1))
+                ids.append(some)
+            else:  # a part in it that its tokens don't give back
+                each = [encode(" " + p) for p in parts[lo:hi]]
+                counts.append(np.array([len(x) for x in each], np.int64))
+                ids.append(np.array([i for x in each for i in x], np.int64))
+            at = int(ends[hi - 1])
+        return np.concatenate(ids), np.concatenate(counts)
 
     def learn(self, parts: list[str]) -> None:
-        """Encode new parts, walk both lists of token ends at once and remember groups and links."""
-        a_of, b_of = self._a_ids(parts), self.b.encode(parts, num_threads=1)
-        for i, p in enumerate(parts):
-            whole = (" " + p).encode()
-            if b"".join(map(self.a_bytes.__getitem__, a_of[i])) != whole or b"".join(map(self.b_bytes.__getitem__, b_of[i])) != whole:
-                a_of[i] = b_of[i] = None
-        sizes = np.array([(0, 0, 0, 1) if a is None else (len(a), len(b), 0, 0) for a, b in zip(a_of, b_of)], np.int64).reshape(-1, 4)
-        a_ids = np.array([x for a in a_of if a for x in a], np.int64)
-        b_ids = np.array([x for b in b_of if b for x in b], np.int64)
+        """Encode new parts, walk both lists of token ends at once and remember groups and links.
+
+        Parts between visible characters are encoded many at once; those that begin or end
+        with white space, and all if parts are whole texts, alone.
+        """
+        plain = [p for p in parts if len(p.strip()) == len(p)] if self.cut else []
+        kept = set(plain)
+        for lot in (plain, *([p] for p in parts if p not in kept)):
+            if lot:
+                self._learn(lot)
+
+    def _learn(self, parts: list[str]) -> None:
+        written = [(" " + p).encode() for p in parts]
+        ends = np.cumsum([len(w) for w in written])
+        (a_ids, n_a), (b_ids, n_b) = self._ids(parts, ends, "a"), self._ids(parts, ends, "b")
+        a_joined, b_joined = (b"".join(map(table.__getitem__, ids.tolist())) for table, ids in ((self.a_bytes, a_ids), (self.b_bytes, b_ids)))
+        bad = np.zeros(len(parts), np.int64)
+        if not a_joined == b_joined == b"".join(written):
+            for table, ids, n in ((self.a_bytes, a_ids, n_a), (self.b_bytes, b_ids, n_b)):
+                at = 0
+                for k, upto in enumerate(np.cumsum(n).tolist()):
+                    bad[k] |= b"".join(map(table.__getitem__, ids[at:upto].tolist())) != written[k]
+                    at = upto
+            a_ids, b_ids = a_ids[np.repeat(bad == 0, n_a)], b_ids[np.repeat(bad == 0, n_b)]
+            n_a, n_b = np.where(bad, 0, n_a), np.where(bad, 0, n_b)
         # the merge of both sorted lists of ends: i and j are the pointers' places at each step,
         # which links token i to token j; a step at which both tokens end closes a group
         a_ends, b_ends = np.cumsum(self.a_length[a_ids]), np.cumsum(self.b_length[b_ids])
         at = np.sort(np.concatenate((a_ends, b_ends)), kind="stable")
-        at = at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
+        at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
         i, j = np.searchsorted(a_ends, at), np.searchsorted(b_ends, at)
         closes = np.flatnonzero((a_ends[i] == at) & (b_ends[j] == at))
-        a_to, b_to = (i[closes] + 1).tolist(), (j[closes] + 1).tolist()
-        name = self.names.__getitem__
-        a_names, b_names = list(map(name, a_ids.tolist())), list(map(name, b_ids.tolist()))
-        texts = [",".join(a_names[x:y]) + "|" + ",".join(b_names[v:w]) for x, y, v, w in zip([0, *a_to], a_to, [0, *b_to], b_to)]
-        last = np.searchsorted(a_to, np.cumsum(sizes[:, 0])) + 1  # groups up to the end of each part
-        last[np.cumsum(sizes[:, 0]) == 0] = 0
-        sizes[:, 2] = np.diff(last, prepend=0)
-        steps = np.concatenate(([0], closes + 1))[last]  # links up to the end of each part
-        at = 0
-        for p, upto in zip(parts, last.tolist()):
+        a_to, b_to = i[closes] + 1, j[closes] + 1  # tokens up to the end of each group
+        a_from, b_from = np.append(0, a_to)[:-1], np.append(0, b_to)[:-1]
+        # a group's text is its a ids, then its b ids, each behind its separator
+        text = np.empty(len(a_ids) + len(b_ids), object)
+        signs = self.then[a_ids]
+        signs[a_from] = self.next[a_ids[a_from]]
+        text[np.arange(len(a_ids)) + np.repeat(b_from, a_to - a_from)] = signs
+        signs = self.then[b_ids]
+        signs[b_from] = self.over[b_ids[b_from]]
+        text[np.arange(len(b_ids)) + np.repeat(a_to, b_to - b_from)] = signs
+        upto = np.cumsum(n_a)  # groups, links and pieces of text up to the end of each part
+        groups = np.searchsorted(a_to, upto) + (upto > 0)
+        steps = np.append(0, closes + 1)[groups]
+        pieces, begin = text.tolist(), 0
+        for p, end in zip(parts, (upto + np.cumsum(n_b)).tolist()):
             self.codes[p] = len(self.groups)
-            self.groups.append(";".join(texts[at:upto]))
-            self.characters += len(p) + len(self.groups[-1])
-            at = upto
-        self.sizes = np.concatenate((self.sizes, sizes))
+            self.groups.append("".join(pieces[begin:end]))
+            begin = end
+        self.characters += int(ends[-1]) + sum(map(len, self.groups[-len(parts) :]))
+        self.sizes = np.concatenate((self.sizes, np.stack((n_a, n_b, np.diff(groups, prepend=0), bad), 1)))
         self.starts = np.concatenate((self.starts, self.starts[-1] + steps))
         self.pairs = np.concatenate((self.pairs, a_ids[i] * len(self.b_bytes) + b_ids[j]))
 
@@ -136,11 +158,10 @@ class Aligner:
             except UnicodeDecodeError:
                 s = ""
             cut.append(self.parts(s) if s else [])
-        new = {p for parts in cut for p in parts if p not in self.codes}
-        if new:
-            self.learn(sorted(new))
+        flat = list(chain.from_iterable(cut))
+        self.learn(list(set(flat).difference(self.codes)))
         lengths = np.array([len(x) for x in cut], np.int64)
-        codes = np.fromiter(map(self.codes.__getitem__, (p for x in cut for p in x)), np.int64, int(lengths.sum()))
+        codes = np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat))
         of = np.repeat(np.arange(len(texts)), lengths)
         counts = np.zeros((len(texts), 4), np.int64)
         for k in range(4):
@@ -148,9 +169,9 @@ class Aligner:
         bad = counts[:, 3] > 0
         counts[:, 3] = counts[:, 0] + counts[:, 1] - counts[:, 2]  # each step ends one token, and both where a group closes
         counts[bad] = 0
-        groups, begin = [], 0
+        groups, begin, known = [], 0, self.groups.__getitem__
         for n, no in zip(lengths.tolist(), bad.tolist()):
-            groups.append("" if no else ";".join(map(self.groups.__getitem__, codes[begin : begin + n].tolist())))
+            groups.append("" if no else "".join(map(known, codes[begin : begin + n].tolist()))[1:])
             begin += n
         # a part that repeats in a text counts its links so many times
         span = np.int64(len(self.groups))
