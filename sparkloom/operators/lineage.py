@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,22 @@ def cut_lineage(df: DataFrame, *spent: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame, *spent: str) -> tuple[DataFrame, str]:
+    """(df as read back from Parquet in the shared folder, where it lies); the folders in spent are deleted once it stands."""
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/written-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(place)
+    for old in spent:
+        remove(spark, old)
+    return spark.read.parquet(place), place
+
+
+def remove(spark: SparkSession, place: str) -> None:
+    """Delete a folder of the shared file system with all in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete the checkpoint that cut_lineage wrote for df, which must not be read again."""
     sc = df.sparkSession.sparkContext
