@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import batches
-from sparkloom.operators.lineage import cut_lineage, shared_folder
+from sparkloom.operators.lineage import cut_lineage, written
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -265,12 +264,9 @@ def alignment_digest(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     document has no tokens. Cases are those of `aligned`, which runs once: its rows are
     written to the shared folder and read for the counts, then for the join with them.
     """
-    spark = docs.sparkSession
     kind = docs.select(F.col(f"`{ident}`")).schema[0].dataType
-    place = f"{shared_folder(spark)}/aligned-{uuid.uuid4()}"
     hashed = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    aligned(docs, ident, text, folder, byte_level, pieces).withColumn("groups", hashed).write.option("compression", "zstd").parquet(place)
-    rows = spark.read.parquet(place)
+    rows, _ = written(aligned(docs, ident, text, folder, byte_level, pieces).withColumn("groups", hashed))
     links = rows.where(F.col("a_id") >= 0).select("row", "a_id", "b_id", "times")
     counts = cut_lineage(pair_counts(links))
     best = F.when(F.col("count") == F.col("b_most"), F.col("times")).otherwise(0)

@@ -5,18 +5,23 @@ from __future__ import annotations
 import base64
 import importlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
 #: How a token that crosses a boundary counts: for the section of its first byte, for the
 #: section that has most of its bytes (ties to the earlier), or for each by its share.
 RULES = ("first", "most", "share")
+#: What the tokenizer's pattern can't take in one go: long white space, on which it would
+#: backtrack without end, and bytes that are no UTF-8 (as lone surrogates).
+_APART = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}|[\udc80-\udcff]+")
 
 
 @lru_cache(maxsize=4)
@@ -33,6 +38,26 @@ def _encoder(folder: str, ranks_file: str):
     return tiktoken.Encoding(ranks_file, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+def encode(encoder, text: bytes) -> np.ndarray:
+    """Token ids of a text of any content.
+
+    The pattern makes one piece of white space but its last character, which goes with what
+    follows, so long white space is encoded as that piece. Bytes that are no UTF-8 are pieces
+    of their own; the vocabulary has all 256.
+    """
+    s, ids, at = text.decode("utf-8", "surrogateescape"), [], 0
+    for m in _APART.finditer(s):
+        white = not "\udc80" <= m[0][0] <= "\udcff"
+        end = m.end() - 1 if white and m.end() < len(s) else m.end()
+        if m.start() > at:
+            ids.append(encoder.encode_ordinary(s[at : m.start()]))
+        ids.append(encoder._encode_single_piece(s[m.start() : end].encode("utf-8", "surrogateescape")))
+        at = end
+    if at < len(s):
+        ids.append(encoder.encode_ordinary(s[at:]))
+    return np.array([i for part in ids for i in part], np.int64)
+
+
 def line_sections(text: bytes) -> np.ndarray:
     """Section ends of a text cut behind each line feed; an empty text has none."""
     ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1
@@ -63,7 +88,9 @@ def count_tokens(docs: DataFrame, rule: str = "most", folder: str = TOKENIZERS,
     A section is a line with its line feed. Texts are encoded whole, so counts of a
     document's sections sum to its token count whatever the rule; under 'share' they are
     fractions. Null and empty texts give no rows; null ids are kept; repeated rows are
-    counted each; an empty table gives no rows. Extra columns are ignored.
+    counted each; an empty table gives no rows; extra columns are ignored. Texts of any length are
+    taken whole, long white space and bytes that are no UTF-8 included: starts and ends tile
+    the text's bytes. Ids must be whole numbers.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -77,8 +104,8 @@ def count_tokens(docs: DataFrame, rule: str = "most", folder: str = TOKENIZERS,
                 s = texts[i].as_py()
                 if not s:
                     continue
-                tokens = np.frombuffer(encoder.encode_to_numpy(s, disallowed_special=()), np.uint32) if hasattr(encoder, "encode_to_numpy") else np.array(encoder.encode_ordinary(s))
-                section_ends = line_sections(s.encode())
+                tokens = encode(encoder, s)
+                section_ends = line_sections(s)
                 rows.append(i)
                 ends.append(section_ends)
                 counts.append(attribute(np.cumsum(lengths[tokens]), section_ends, rule))
@@ -92,4 +119,4 @@ def count_tokens(docs: DataFrame, rule: str = "most", folder: str = TOKENIZERS,
             for a in range(0, len(repeat), 50_000):
                 yield pa.RecordBatch.from_arrays([x.slice(a, 50_000) for x in arrays], names=["doc_id", "section", "start", "end", "tokens"])
 
-    return docs.select(id_col, text).mapInArrow(count, "doc_id long, section int, start long, end long, tokens double")
+    return docs.select(id_col, F.col(text).cast("binary")).mapInArrow(count, "doc_id long, section int, start long, end long, tokens double")

@@ -248,3 +248,57 @@ def test_long_and_broken_pages(spark, model):
     assert rows.columns == ["page_id", "block", "path", "text", "score"] and rows.count() == 20_000
     invalid = spark.sql("SELECT 1L AS page_id, cast(concat(unhex('3C61727469636C653E61FF'), encode('b</article>', 'utf-8')) AS string) AS html")
     assert html_extract.main_texts(invalid, model).collect()[0].main_text in ("a�b", "")
+
+
+# ---------------------------------------------------------------- mends of earlier operators
+
+
+def test_tokens_of_long_white_space_and_of_bytes_that_are_no_text(spark):
+    from sparkloom.llm import token_counts
+
+    texts = {1: b" " * 3_000_000, 2: b"\t" * 1_000_000 + b"x", 3: b"a\n" + b" \t\r" * 400_000 + b"\nb", 4: b"\x61\xff\x62", 5: b"\xff\xfe\n\xffa"}
+    encoder, lengths = token_counts._encoder(token_counts.TOKENIZERS, token_counts.RANKS)
+    for x in texts.values():
+        assert lengths[token_counts.encode(encoder, x)].sum() == len(x)
+    frame = spark.createDataFrame(list((i, x) for i, x in texts.items()), "doc_id long, text binary")
+    by_doc = defaultdict(list)
+    for r in token_counts.count_tokens(frame).collect():
+        by_doc[r.doc_id].append((r.start, r.end, r.tokens))
+    for i, x in texts.items():
+        ends = [b for _, b, _ in sorted(by_doc[i])]
+        assert [a for a, _, _ in sorted(by_doc[i])] == [0, *ends[:-1]] and ends[-1] == len(x) and all(x[b - 1] == 10 for b in ends[:-1])
+        assert sum(n for _, _, n in by_doc[i]) == len(token_counts.encode(encoder, x))
+
+
+def test_white_space_in_pieces_gives_the_same_tokens(monkeypatch):
+    import re
+
+    from sparkloom.llm import token_counts
+
+    encoder, _ = token_counts._encoder(token_counts.TOKENIZERS, token_counts.RANKS)
+    monkeypatch.setattr(token_counts, "_APART", re.compile(token_counts._APART.pattern.replace("1000", "2")))
+    rng = random.Random(8)
+    for _ in range(1000):
+        s = "".join(rng.choice(" \n\t\xa0　ab.1é\x1f") for _ in range(rng.randrange(40)))
+        assert list(token_counts.encode(encoder, s.encode())) == encoder.encode_ordinary(s)
+
+
+@needs_tables
+def test_pipeline_judges_each_document_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(docs):
+        def count(frames):
+            for f in frames:
+                seen.add(len(f))
+                yield f
+
+        return docs.mapInPandas(count, docs.schema)
+
+    stages = list(corpus_pipeline.STAGES)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stages[0], ("counted", lambda s, docs, d: counted(docs)), *stages[2:]])
+    rows = corpus_pipeline.run(spark, SF).count()
+    kept = corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).count()
+    assert rows > 0 and seen.value == kept
