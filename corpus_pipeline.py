@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import language_id, mixing, ngram_join, packing, toxicity
 from sparkloom.llm.queries import packing_input
+from sparkloom.operators.lineage import written
 
 
 def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], keep: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
@@ -67,8 +68,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The rows of the last stage; each stage before is written once and read by the next, then deleted."""
+    docs, spent = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
+    for _, stage in STAGES[:-1]:
+        docs, place = written(stage(spark, docs, sf_dir), *spent)
+        spent = (place,)
+    return STAGES[-1][1](spark, docs, sf_dir)
