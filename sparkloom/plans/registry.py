@@ -485,12 +485,12 @@ def corpus_stats(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from sparkloom.plans import memory  # noqa: F401  registers its queries
+    from sparkloom.plans import memory, sources  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from sparkloom.plans import memory  # noqa: F401
+    from sparkloom.plans import memory, sources  # noqa: F401
 
     return dict(_SQL)

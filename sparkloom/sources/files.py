@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from sparkloom.functions.markdown import markdown, table_markdown
+
 # Folders, names and extensions that the intake knows.
 EXCLUDED_DIRS = """.git .hg .svn .idea .vscode __pycache__ .ipynb_checkpoints node_modules .venv venv env
 .tox .mypy_cache .pytest_cache .ruff_cache site-packages dist build target .next .nuxt coverage
@@ -129,7 +131,11 @@ def python_notes(source: str | None) -> str:
 
 
 def file_texts(files: DataFrame) -> DataFrame:
-    """path, text of each file (path, content): decoded text, package paragraphs, or a Python file's notes; binaries have ''."""
+    """path, text of each file (path, content) with LF line ends; binaries have ''.
+
+    HTML and comma-separated tables become Markdown, word-processing packages their
+    paragraphs, Python files their notes; other text stays as it is.
+    """
 
     def text(path: str | None, content: bytes | None) -> str:
         low = (path or "").lower()
@@ -138,6 +144,10 @@ def file_texts(files: DataFrame) -> DataFrame:
         if content is None or b"\0" in content[:8192]:
             return ""
         plain = decoded(content).replace("\r\n", "\n").replace("\r", "\n")
+        if low.endswith((".html", ".htm", ".xhtml")):
+            return markdown(plain)
+        if low.endswith(".csv"):
+            return table_markdown(plain)
         return python_notes(plain) if low.endswith(".py") else plain
 
     def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
