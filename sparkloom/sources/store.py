@@ -1,10 +1,13 @@
-"""Stored tables: bucketed Parquet behind a manifest, with upserts, replacement, deletion and compaction.
+"""Stored tables: bucketed Parquet behind a manifest, with upserts, replacement, deletion, growth and compaction.
 
 A table is a folder of immutable parts and a manifest that says, for each hash bucket of the
 key, which part's files hold it. A write rewrites the buckets that it touches into a part of
 its own and then puts a new manifest in the old one's place by a rename; readers see one
 version or the other, and a job that dies leaves nothing but an unused part. One writer at
 a time. Executors read and write Parquet; only manifests pass through the driver.
+
+Buckets follow the table's size by linear hashing: a table that has outgrown its buckets
+gets further ones at its next write, and only those that a new one splits are rewritten.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql.types import StructType
 
 from sparkloom.operators.selection import last_wins
 
-#: Buckets of a new table; a bucket should stay below some hundred MB.
-BUCKETS = 16
+#: Least buckets of a table, and rows for each of which it gets one.
+BUCKETS, ROWS = 16, 1_000_000
 #: Tasks that write one bucket.
 SPLIT = 4
 #: Parts that no manifest names are deleted once they are this old, so that running reads end first.
@@ -31,8 +34,10 @@ KEEP_SECONDS = 600
 class Store:
     """The tables below one folder that the driver and all executors share."""
 
-    def __init__(self, spark: SparkSession, home: str, buckets: int = BUCKETS):
-        self.spark, self.home, self.buckets = spark, home.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, home: str, buckets: int = BUCKETS, rows_each: int = ROWS):
+        self.spark, self.home, self.buckets, self.rows_each = spark, home.rstrip("/"), buckets, rows_each
+        #: Rows that the last write put into its part, those of touched buckets included.
+        self.written = 0
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.home).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -101,7 +106,24 @@ class Store:
 
     @staticmethod
     def _bucket(keys: Sequence[str], buckets: int):
-        return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket")
+        """Bucket of a key: its hash modulo the least power of two that isn't below `buckets`, or half of that where there is no such bucket."""
+        high = 1 << (buckets - 1).bit_length()
+        h = F.xxhash64(*keys)
+        wide = F.pmod(h, F.lit(high))
+        return F.when(wide < buckets, wide).otherwise(F.pmod(h, F.lit(max(1, high // 2)))).cast("int").alias("_bucket")
+
+    def _wanted(self, rows: int) -> int:
+        return max(self.buckets, -(-rows // self.rows_each))
+
+    @staticmethod
+    def _parents(old: int, new: int) -> set[str]:
+        """Buckets of `old` whose rows a table of `new` buckets has in others, too."""
+        found = set()
+        for b in range(old, new):
+            while b >= old:
+                b -= 1 << (b.bit_length() - 1)
+            found.add(str(b))
+        return found
 
     def _write(self, name: str, rows: DataFrame, keys: Sequence[str], buckets: int) -> tuple[str, list[str]]:
         """(part, buckets that it has) of rows written by bucket."""
@@ -110,35 +132,58 @@ class Store:
         dealt = rows.withColumn("_bucket", self._bucket(keys, buckets)).repartition(F.col("_bucket"), F.pmod(F.xxhash64(*rows.columns), F.lit(SPLIT)))
         dealt.sortWithinPartitions("_bucket", *keys).write.partitionBy("_bucket").parquet(f"{self.home}/{name}/{part}")
         there = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.home}/{name}/{part}"))]
+        self.written = self.spark.read.schema(rows.schema).parquet(f"{self.home}/{name}/{part}").count()  # from the files' ends
         return part, [d.removeprefix("_bucket=") for d in there if d.startswith("_bucket=")]
 
     def put(self, name: str, keys: Sequence[str], rows: DataFrame, seq: str | None = None, whole: bool = False) -> int:
         """Upsert by keys; the table's number of rows. Of input rows of one key the last by seq stays.
 
-        With whole a key may have several rows, and those put take the place of all it had.
-        Without rows nothing is created. Only buckets that the input touches are read and
-        rewritten; their old rows meet the input in an anti-join on the key.
+        Without seq, input that repeats a key is an error, since no row of it would be the
+        last. With whole a key may have several rows, and those put take the place of all it
+        had. Null is a key like others. Without rows nothing is created. Only buckets that
+        the input touches, or that the table's growth splits, are read and rewritten; their
+        old rows meet the input in an anti-join on the key.
         """
         keys = list(keys)
-        if not whole:
-            rows = rows.dropDuplicates(keys) if seq is None else last_wins(rows.withColumn("_key", F.struct(*keys)), "_key", seq).drop("_key").select(rows.columns)
+        if not whole and seq is not None:
+            rows = last_wins(rows.withColumn("_key", F.struct(*keys)), "_key", seq).drop("_key").select(rows.columns)
+        elif not whole and not rows.groupBy(*keys).count().where("count > 1").isEmpty():
+            raise ValueError(f"rows for {name} repeat a key; name their order in seq")
         manifest = self._manifest(name)
-        buckets = manifest["buckets"] if manifest else self.buckets
         if manifest is None:
-            if rows.isEmpty():
+            n = rows.count()
+            if not n:
                 return 0
+            buckets = self._wanted(n)
             part, mine = self._write(name, rows, keys, buckets)
-            self._commit(name, {"keys": keys, "buckets": buckets, "schema": rows.schema.jsonValue(), "parts": dict.fromkeys(mine, part)})
-            return self.count(name)
+            self._commit(name, {"keys": keys, "buckets": buckets, "rows": self.written, "schema": rows.schema.jsonValue(), "parts": dict.fromkeys(mine, part)})
+            return self.written
         if keys != manifest["keys"]:
             raise ValueError(f"{name} has the keys {manifest['keys']}")
-        touched = {str(r[0]) for r in rows.select(self._bucket(keys, buckets)).distinct().collect()}  # at most one row a bucket
+        before = manifest["buckets"]
+        buckets = max(before, self._wanted(manifest.get("rows", 0)))
+        touched = {str(r[0]) for r in rows.select(self._bucket(keys, before)).distinct().collect()}  # at most one row a bucket
+        touched |= self._parents(before, buckets)
         schema = StructType.fromJson(manifest["schema"])
         rows = rows.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields))
         old = self._read(manifest, name, [b for b in manifest["parts"] if b in touched])
-        part, mine = self._write(name, rows.unionByName(old.join(rows.select(*keys), keys, "left_anti").select(rows.columns)), keys, buckets)
-        self._commit(name, manifest | {"parts": manifest["parts"] | dict.fromkeys(mine, part)})
-        return self.count(name)
+        return self._rewrite(name, manifest, touched, rows.unionByName(self._without(old, rows, keys)), buckets)
+
+    @staticmethod
+    def _without(old: DataFrame, gone: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """old's rows but those whose columns are a row of gone; nulls are equal."""
+        other = gone.select(*(F.col(c).alias(f"_gone{i}") for i, c in enumerate(columns)))
+        same = [F.col(c).eqNullSafe(F.col(f"_gone{i}")) for i, c in enumerate(columns)]
+        return old.join(other, same, "left_anti")
+
+    def _rewrite(self, name: str, manifest: dict, touched: set[str], rows: DataFrame, buckets: int) -> int:
+        """Put rows in the place of the touched buckets; the table's number of rows."""
+        part, mine = self._write(name, rows, manifest["keys"], buckets)
+        parts = {b: p for b, p in manifest["parts"].items() if b not in touched} | dict.fromkeys(mine, part)
+        now = manifest | {"buckets": buckets, "parts": parts}
+        now["rows"] = self._read(now, name, list(parts)).count()  # from the files' ends
+        self._commit(name, now)
+        return now["rows"]
 
     def replace(self, name: str, rows: DataFrame, keys: Sequence[str], guard: bool = False) -> int:
         """The table becomes rows; without rows it goes, or with guard stays as it was."""
@@ -146,9 +191,10 @@ class Store:
             if not guard and self.exists(name):
                 self._fs.delete(self._path(f"{self.home}/{name}/manifest.json"), False)
             return self.count(name)
-        part, mine = self._write(name, rows, keys, self.buckets)
-        self._commit(name, {"keys": list(keys), "buckets": self.buckets, "schema": rows.schema.jsonValue(), "parts": dict.fromkeys(mine, part)})
-        return self.count(name)
+        buckets = self._wanted(rows.count())
+        part, mine = self._write(name, rows, keys, buckets)
+        self._commit(name, {"keys": list(keys), "buckets": buckets, "rows": self.written, "schema": rows.schema.jsonValue(), "parts": dict.fromkeys(mine, part)})
+        return self.written
 
     def delete(self, name: str, where: str) -> int:
         """Rows for which `where` is true go; the number of rows left."""
@@ -156,9 +202,21 @@ class Store:
         if manifest is None:
             return 0
         kept = self._read(manifest, name, list(manifest["parts"])).where(f"NOT coalesce({where}, false)")
-        part, mine = self._write(name, kept, manifest["keys"], manifest["buckets"])
-        self._commit(name, manifest | {"parts": dict.fromkeys(mine, part)})
-        return self.count(name)
+        return self._rewrite(name, manifest, set(manifest["parts"]), kept, manifest["buckets"])
+
+    def delete_matching(self, name: str, gone: DataFrame) -> int:
+        """Rows that equal a row of gone in all of its columns go; the number of rows left.
+
+        Where gone has the table's keys, only their buckets are rewritten.
+        """
+        manifest = self._manifest(name)
+        if manifest is None:
+            return 0
+        touched = set(manifest["parts"])
+        if set(manifest["keys"]) <= set(gone.columns):
+            touched &= {str(r[0]) for r in gone.select(self._bucket(manifest["keys"], manifest["buckets"])).distinct().collect()}  # at most one row a bucket
+        old = self._read(manifest, name, sorted(touched))
+        return self._rewrite(name, manifest, touched, self._without(old, gone, gone.columns), manifest["buckets"])
 
     def compact(self, keep_seconds: float = KEEP_SECONDS) -> int:
         """Delete parts and manifests that nothing names any more and that are old enough; how many went."""
