@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sparkloom.functions.markdown import markdown, table_markdown
+from sparkloom.sources.office import legacy_text
 
 # Folders, names and extensions that the intake knows.
 EXCLUDED_DIRS = """.git .hg .svn .idea .vscode __pycache__ .ipynb_checkpoints node_modules .venv venv env
@@ -133,14 +134,16 @@ def python_notes(source: str | None) -> str:
 def file_texts(files: DataFrame) -> DataFrame:
     """path, text of each file (path, content) with LF line ends; binaries have ''.
 
-    HTML and comma-separated tables become Markdown, word-processing packages their
-    paragraphs, Python files their notes; other text stays as it is.
+    HTML and comma-separated tables become Markdown, word-processing packages and legacy
+    files their paragraphs, Python files their notes; other text stays as it is.
     """
 
     def text(path: str | None, content: bytes | None) -> str:
         low = (path or "").lower()
         if low.endswith(".docx"):
             return docx_paragraphs(content)
+        if low.endswith(".doc"):
+            return legacy_text(content)
         if content is None or b"\0" in content[:8192]:
             return ""
         plain = decoded(content).replace("\r\n", "\n").replace("\r", "\n")
