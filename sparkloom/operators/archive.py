@@ -15,6 +15,7 @@ from sparkloom.functions.vectors import dot, unit
 from sparkloom.operators import relations
 from sparkloom.operators.context import entropy
 from sparkloom.operators.lineage import cut_lineage
+from sparkloom.operators.ordering import places_of
 from sparkloom.operators.selection import first_per
 
 RELATIONS = ("contradicts", "fixes", "refines", "supersedes", "returns_to")
@@ -122,9 +123,7 @@ def file_manifest(nodes: DataFrame, file_edges: DataFrame) -> DataFrame:
     the files' means. file_edges: u, v.
     """
     per = nodes.groupBy("file").agg(F.count("*").alias("atoms"), F.avg(F.coalesce("root_similarity", F.lit(0.0))).alias("mean"))
-    place = F.row_number().over(Window.orderBy("mean", "file"))  # one row a file, its mean alone
-    ranked = per.select("file", "mean").withColumn("_p", place)
-    median = ranked.join(F.broadcast(per.agg(F.expr("count(*) div 2 + 1").alias("_p"))), "_p").select(F.col("mean").alias("median"))
+    median = places_of(per.select(F.lit(0).alias("g"), "mean"), "g", "mean", {"median": "n div 2"}).select("median")
     ends = file_edges.select(F.col("u").alias("file"), F.col("v").alias("o")).unionByName(file_edges.select(F.col("v").alias("file"), F.col("u").alias("o")))
     connected = ends.groupBy("file").agg(F.count_distinct("o").alias("connected"))
     joined = per.join(connected, "file", "left").crossJoin(F.broadcast(median))  # one row
@@ -198,11 +197,9 @@ def branch_signature(nodes: DataFrame) -> DataFrame:
 
 def path_coherence_summary(nodes: DataFrame) -> DataFrame:
     """One row: mean, deviation and the values at places n div 10, n div 2 and 9n div 10 of path_coherence."""
-    from sparkloom.operators.proximity import index_percentiles
-
     known = nodes.where("path_coherence IS NOT NULL").select(F.lit(0).alias("g"), "path_coherence")
     moments = known.groupBy("g").agg(F.round(F.avg("path_coherence"), 4).alias("mean"), F.round(F.stddev_pop("path_coherence"), 4).alias("deviation"))
-    places = index_percentiles(known, "g", "path_coherence", {"p10": "n div 10", "p50": "n div 2", "p90": "9 * n div 10"})
+    places = places_of(known, "g", "path_coherence", {"p10": "n div 10", "p50": "n div 2", "p90": "9 * n div 10"})
     return moments.join(places, "g").drop("g", "n")
 
 

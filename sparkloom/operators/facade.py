@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import day, relative, space_parts
 from sparkloom.operators import code, context, fulltext, graph, ledger, relations, retrieval, search, segmentation, spaces
 from sparkloom.operators.lineage import cut_lineage
+from sparkloom.operators.ordering import numbered
 from sparkloom.operators.proximity import threshold
 from sparkloom.sources.store import Store
 
@@ -143,8 +144,7 @@ def node(store: Store, ident: str, root: str = "", reach: int = 4) -> DataFrame:
 
 def ego_graph(store: Store, ident: str, depth: int = 1, limit: int = 60, root: str = "") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around an entry: relations in any direction, closed ones too, and the tree's edges at it."""
-    numbered = F.row_number().over(Window.orderBy("valid_at", "src", "dst", "kind")).cast("long")
-    links = cut_lineage(store.rows("relations", empty=ledger.RELATION).withColumn("seq", numbered))
+    links = cut_lineage(numbered(store.rows("relations", empty=ledger.RELATION), "valid_at", "src", "dst", "kind"))
     entries = store.rows("entries", empty=ledger.ENTRY)
     reached = relations.neighbourhood(links, store.spark.createDataFrame([(0, ident)], "query int, id string"), depth, limit)
     nodes = relations.graph_nodes(reached, entries, links, root).drop("query")

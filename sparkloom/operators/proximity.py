@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import graph, search
 from sparkloom.operators.lineage import cut_lineage
+from sparkloom.operators.ordering import places_of
 
 EDGE = "u string, v string, similarity double"
 
@@ -187,11 +188,7 @@ def coagulation(nodes: DataFrame, edges: DataFrame, days: float = 21.0) -> DataF
     return joined.agg(F.count("*").alias("edges"), share(cont, F.lit(True)).alias("continues_pct"), share(known & (F.col("src_branch") != F.col("dst_branch")), known).alias("between_pct"), share(far, known).alias("far_pct"), F.count_if(far & cont).alias("far_continues"))
 
 
-def index_percentiles(rows: DataFrame, group: str, value: str, places: dict[str, str]) -> DataFrame:
-    """group, n, and for each name the value at that place (an expression of n, from 0) in rising order."""
-    w = Window.partitionBy(group)
-    ranked = rows.select(group, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_p"), F.count("*").over(w).alias("n"))
-    return ranked.groupBy(group, "n").agg(*(F.max(F.when(F.col("_p") == F.expr(e), F.col(value))).alias(name) for name, e in places.items()))
+index_percentiles = places_of
 
 
 def auc(pairs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from sparkloom.functions import marks, render
 from sparkloom.functions import text as T
 from sparkloom.operators import archive, code, context, facade, fulltext, growth, ledger, proximity, relations, retrieval, segmentation, selection
 from sparkloom.operators.lineage import shared_folder
+from sparkloom.operators.ordering import numbered
 from sparkloom.plans.registry import _CLAIMS, _EDGES, _HEADS, _KNN, _SQUASH, _VEC, _edges, _knn, _lines, _LINE_SQL, _links, _nodes, _t, query
 from sparkloom.sources import intake
 from sparkloom.sources.store import Store
@@ -369,7 +370,7 @@ _SEQ = f"{_CLAIMS}, {_HEADS}, sq AS (SELECT *, row_number() OVER (ORDER BY valid
 
 
 def _numbered(spark, d):
-    return _links(spark, d).withColumn("seq", F.row_number().over(Window.orderBy("valid_at", "src", "dst", "kind")).cast("long"))
+    return numbered(_links(spark, d), "valid_at", "src", "dst", "kind")
 
 
 @query(f"WITH {_SEQ} SELECT id, min(s)::BIGINT AS seq FROM (SELECT dst AS id, seq * 2 AS s FROM sq WHERE src < 6 UNION ALL SELECT src, seq * 2 + 1 FROM sq WHERE dst < 6) GROUP BY id")
@@ -385,11 +386,11 @@ def relation_scope(spark, d):
     return relations.scope(_numbered(spark, d), spark.range(2, 4))
 
 
-@query(f"""WITH RECURSIVE {_SEQ}, bi AS (SELECT src AS a, dst AS b FROM sq WHERE seq <= 400 UNION SELECT dst, src FROM sq WHERE seq <= 400),
+@query(f"""WITH RECURSIVE {_SEQ}, bi AS (SELECT src AS a, dst AS b FROM sq UNION SELECT dst, src FROM sq),
 r AS (SELECT 1::BIGINT AS query, 1::BIGINT AS id, 0 AS hop UNION SELECT query, b, hop + 1 FROM r JOIN bi ON a = id WHERE hop < 3) SELECT query, id, min(hop) AS hop FROM r GROUP BY 1, 2""")
 def relation_neighbourhood(spark, d):
     start = spark.range(1, 2).select(F.col("id").alias("query"), "id")
-    return relations.neighbourhood(_numbered(spark, d).where("seq <= 400"), start, 3, 10**6).select("query", "id", "hop")
+    return relations.neighbourhood(_numbered(spark, d), start, 3, 10**6).select("query", "id", "hop")
 
 
 @query(f"""WITH {_SEQ}, e AS (SELECT 1::BIGINT AS query, id, seq FROM (SELECT id, min(s) AS seq FROM (SELECT dst AS id, seq * 2 AS s FROM sq WHERE src = 1 UNION ALL SELECT src, seq * 2 + 1 FROM sq WHERE dst = 1) GROUP BY id) WHERE id <> 1)

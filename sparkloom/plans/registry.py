@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.functions import vectors as V
 from sparkloom.operators import context, graph, relations, search, segmentation, selection, spaces, sync
+from sparkloom.operators.lineage import cut_lineage
+from sparkloom.operators.ordering import places_of
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -180,10 +182,7 @@ SELECT label, len(s) AS n, s[1] AS least, s[len(s) // 10 + 1] AS p10, s[len(s) /
 def similarity_percentiles(spark, d):
     labels = _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
     ranked = _knn(spark, d).join(labels, "query_id")
-    w = Window.partitionBy("label")
-    placed = ranked.select("label", "score", (F.row_number().over(w.orderBy("score")) - 1).alias("p"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("p") == F.expr(p), F.col("score")))
-    return placed.groupBy("label", "n").agg(F.min("score").alias("least"), at("n div 10").alias("p10"), at("n div 2").alias("median"), F.max("score").alias("most"))
+    return places_of(cut_lineage(ranked), "label", "score", {"least": "0L", "p10": "n div 10", "median": "n div 2", "most": "n - 1"})
 
 
 @query("""SELECT vec_id, round(list_dot_product(v, v), 4) AS squared, list_contains(list_transform(v, lambda x: isfinite(x)), false) AS broken
