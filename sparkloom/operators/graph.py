@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sparkloom.operators.lineage import cut_lineage, release
@@ -73,24 +74,33 @@ def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: in
     """node, rank: personalised PageRank of the simple graph; seeds (node, weight) get the restarts.
 
     Stops when ranks move by less than nodes * tolerance in all, or after `rounds` rounds.
-    Each round is one join and one aggregation that combines before its shuffle, and ends
-    its lineage. Nodes without links hand their rank to the seeds.
+    Links are dealt by their source once and kept on the executors (lost ones are dealt
+    anew), so that a round moves ranks and sums only: one join, one aggregation that combines
+    before its shuffle, and one job, which also tells how far ranks moved. It ends its
+    lineage. Nodes without links hand their rank to the seeds.
     """
     s = simple(edges)
-    out = s.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(s.select(F.col("v").alias("src"), F.col("u").alias("dst")))
-    links = cut_lineage(out.join(out.groupBy("src").agg(F.count("*").alias("d")), "src"))
+    out = cut_lineage(s.select(F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(s.select(F.col("v").alias("src"), F.col("u").alias("dst"))))
     total = seeds.agg(F.sum("weight")).first()[0] or 1.0
-    nodes = links.select(F.col("src").alias("node"), F.lit(True).alias("linked")).unionByName(seeds.select("node", F.lit(False).alias("linked"))).groupBy("node").agg(F.max("linked").alias("linked"))
-    start = cut_lineage(nodes.join(seeds.groupBy("node").agg((F.sum("weight") / F.lit(total)).alias("p")), "node", "left").select("node", "linked", F.coalesce("p", F.lit(0.0)).alias("p")))
-    n, loose = start.select(F.count("*"), F.coalesce(F.sum(F.when(~F.col("linked"), 1.0)), F.lit(0.0))).first()
+    counts = out.groupBy("src").agg(F.count("*").alias("d"))
+    nodes = counts.select(F.col("src").alias("node"), "d").unionByName(seeds.select("node", F.lit(0).cast("long").alias("d"))).groupBy("node").agg(F.max("d").alias("d"))
+    start = cut_lineage(nodes.join(seeds.groupBy("node").agg((F.sum("weight") / F.lit(total)).alias("p")), "node", "left").select("node", "d", F.coalesce("p", F.lit(0.0)).alias("p")))
+    n, loose = start.select(F.count("*"), F.coalesce(F.sum(F.when(F.col("d") == 0, 1.0)), F.lit(0.0))).first()
     loose /= max(n, 1)
+    links = out.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
     rank = cut_lineage(start.withColumn("rank", F.lit(1.0 / max(n, 1))), start)
     for _ in range(rounds):
-        flow = links.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("d")).alias("flow"))
+        given = rank.where("d > 0").select(F.col("node").alias("src"), (F.col("rank") / F.col("d")).alias("given"))
+        flow = links.join(given, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("given").alias("flow"))
         fresh = alpha * (F.coalesce("flow", F.lit(0.0)) + F.lit(loose) * F.col("p")) + (1 - alpha) * F.col("p")
-        rank = cut_lineage(rank.join(flow, "node", "left").select("node", "linked", "p", fresh.alias("rank"), F.abs(fresh - F.col("rank")).alias("moved")), rank)
-        moved, loose = rank.agg(F.sum("moved"), F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0))).first()
-        if (moved or 0.0) < n * tolerance:
+        moved = F.coalesce(F.sum(F.abs(F.col("rank") - F.col("_before"))), F.lit(0.0))
+        seen = Observation()
+        now = rank.join(flow, "node", "left").select("node", "d", "p", fresh.alias("rank"), F.col("rank").alias("_before"))
+        now = now.observe(seen, moved.alias("moved"), F.coalesce(F.sum(F.when(F.col("d") == 0, F.col("rank"))), F.lit(0.0)).alias("loose"))
+        rank = cut_lineage(now.select("node", "d", "p", "rank"), rank)
+        loose = seen.get["loose"]
+        if seen.get["moved"] < n * tolerance:
             break
-    release(links)
+    links.unpersist()
+    release(out)
     return rank.select("node", "rank")
