@@ -266,15 +266,10 @@ def carry_by_seam(vectors: DataFrame, centres: np.ndarray, maps: list[list[list[
 
 def ridge(pairs: DataFrame, weight: float) -> list[list[float]]:
     """Matrix W with src @ W near dst under a penalty on its size, from sums of products of coordinates."""
-    def cross(a: str, b: str) -> np.ndarray:
-        rows = pairs.select(F.posexplode(a).alias("i", "x"), F.col(b).alias("o")).select("i", "x", F.posexplode("o").alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("s")).collect()  # widths squared
-        out = np.zeros((max(r.i for r in rows) + 1, max(r.j for r in rows) + 1)) if rows else np.zeros((0, 0))
-        for r in rows:
-            out[r.i, r.j] = r.s
-        return out
+    from sparkloom.operators.spaces import coordinate_sums
 
-    own = cross("src", "src")
-    return np.linalg.solve(own + weight * np.eye(len(own)), cross("src", "dst")).round(6).tolist() if len(own) else []
+    gram, width = coordinate_sums(pairs)
+    return np.linalg.solve(gram[:width, :width] + weight * np.eye(width), gram[:width, width:]).round(6).tolist() if width else []
 
 
 def agreement(mapped: DataFrame, true: DataFrame, k: int = 10) -> DataFrame:

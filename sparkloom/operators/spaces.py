@@ -32,13 +32,11 @@ def plan_routes(stored: DataFrame, ready: DataFrame, adapters: DataFrame) -> Dat
     return routed.select("position", "space", how, F.when(F.col("direct"), F.col("space")).otherwise(F.col("via")).alias("source"))
 
 
-def fit_adapter(pairs: DataFrame) -> list[list[float]]:
-    """Matrix W of 6 decimals with src @ W near dst, from rows (src, dst) of vectors of one width each.
+def coordinate_sums(pairs: DataFrame) -> tuple[np.ndarray, int]:
+    """(sums of products of all coordinates of src and dst side by side, width of src) of rows (src, dst); empty without rows.
 
-    Equal widths give the orthogonal matrix that fits best, others the least squares of
-    least norm. Executors sum products of coordinates; only those sums, whose number
-    depends on the widths alone, come to the driver. Rows with a null or non-finite part
-    teach nothing; without rows the matrix is empty.
+    Executors sum in Arrow batches; only those sums, whose number depends on the widths
+    alone, come to the driver. Rows with a null or non-finite part are left out.
     """
 
     def products(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,11 +54,25 @@ def fit_adapter(pairs: DataFrame) -> list[list[float]]:
     parts = pairs.select("src", "dst").mapInArrow(products, "i int, width int, sums array<double>")
     summed = parts.select("i", "width", F.posexplode("sums").alias("j", "x")).groupBy("i", "width", "j").agg(F.sum("x").alias("x")).collect()
     if not summed:
-        return []
+        return np.zeros((0, 0)), 0
     width, full = summed[0].width, max(r.i for r in summed) + 1
     gram = np.zeros((full, full))
     for r in summed:
         gram[r.i, r.j] = r.x
+    return gram, width
+
+
+def fit_adapter(pairs: DataFrame) -> list[list[float]]:
+    """Matrix W of 6 decimals with src @ W near dst, from rows (src, dst) of vectors of one width each.
+
+    Equal widths give the orthogonal matrix that fits best, others the least squares of
+    least norm, both from coordinate_sums. Rows with a null or non-finite part teach
+    nothing; without rows the matrix is empty.
+    """
+    gram, width = coordinate_sums(pairs)
+    if not width:
+        return []
+    full = len(gram)
     own, cross = gram[:width, :width], gram[:width, width:]
     if 2 * width == full:
         left, _, right = np.linalg.svd(cross)

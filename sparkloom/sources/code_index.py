@@ -28,11 +28,11 @@ def code_files(spark: SparkSession, root: str, skipped: list[str] = ()) -> DataF
     """path, content of the Python, C and C++ files below root, without those below skipped folders or CMake's build folders.
 
     A build folder is known by the CMakeCache.txt in it, whatever its name; a file is matched
-    to one by equi-joins on the folders above it. Contents are read of no other files. Spark's
-    reader passes over files of no bytes.
+    to one by equi-joins on the folders above it. Only files with the endings of code are
+    opened; Spark's reader passes over files of no bytes.
     """
     base = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    names = base.load(root).select("path")
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     built = names.where(F.endswith("path", F.lit("/CMakeCache.txt"))).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"))
     parts = F.split("path", "/")
     above = names.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("folder"))
@@ -44,7 +44,9 @@ def code_files(spark: SparkSession, root: str, skipped: list[str] = ()) -> DataF
     ending = low.endswith(".py")
     for e in cpp.EXTENSIONS:
         ending = ending | low.endswith(e)
-    return base.load(root).where(ending & own).join(of_builds, "path", "left_anti").select("path", "content")
+    either = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
+    endings = "*{" + ",".join(map(either, (".py", *cpp.EXTENSIONS))) + "}"
+    return base.option("pathGlobFilter", endings).load(root).where(ending & own).join(of_builds, "path", "left_anti").select("path", "content")
 
 
 def _hash(text: str) -> str:
