@@ -14,7 +14,7 @@ from sparkloom.llm import language_id, mixing, ngram_join, packing, queries, tok
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
-TABLES = "documents embeddings pages labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
