@@ -16,8 +16,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from sparkloom.operators.code import distinct_nodes, edge_rows, known_only, node_rows
 
-#: What is asked for, by kind, and rows a page; lanes share out the pages of a kind.
+# Kinds that an indexer is asked for.
 SYMBOLS, LINKS = ("Function", "Method", "Class"), ("CALLS", "USAGE")
+#: Rows a page, tasks that share out the pages of a kind, and calls of one page before it fails.
 PAGE, LANES, TRIES = 200, 4, 3
 #: Spark's switch for filters that reach Python sources; sources that take filters need it on.
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
