@@ -19,6 +19,12 @@ TURNS = 4096
 CONV, LOT = ["c", "c_null"], ["c", "c_null", "lot"]
 
 
+def conversation(turns: DataFrame) -> tuple[Column, Column]:
+    """c and c_null: the id, a zero of its own type in place of null, and whether it is null."""
+    kind = turns.select("conv_id").schema[0].dataType
+    return F.coalesce("conv_id", F.lit("0").cast(kind)).alias("c"), F.col("conv_id").isNull().alias("c_null")
+
+
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """c, c_null (the conversation's id, and whether it is null), n (ordinal from 1) and h1, h2, the hash of its first n turns.
 
@@ -27,7 +33,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     """
     order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
     lot = F.coalesce(F.expr(f"turn div {TURNS}"), F.lit(-(1 << 62)).cast("long"))
-    dealt = turns.select(F.coalesce("conv_id", F.lit(0)).alias("c"), F.col("conv_id").isNull().alias("c_null"), lot.alias("lot"), "turn", "role", "text")
+    dealt = turns.select(*conversation(turns), lot.alias("lot"), "turn", "role", "text")
     own = F.xxhash64(F.col("role").isNull(), "role", F.col("text").isNull(), "text")
     placed = cut_lineage(dealt.select(*LOT, F.row_number().over(Window.partitionBy(*LOT).orderBy(*order)).alias("i"), own.alias("own")))
     over = Window.partitionBy(*CONV).orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,14 +74,14 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, snapshots, rendered of the maximal conversations.
 
     Turns go by turn number, nulls first, then role and text; turns that repeat stay
-    repeated. Rows of null conv_id form one conversation. A maximal conversation is
+    repeated. Ids are numbers or strings; rows of null conv_id form one conversation. A maximal conversation is
     rendered in one row, so it must fit in memory. Extra columns are ignored, and an empty
     table gives no rows.
     """
     hashed = prefix_hashes(turns)
     kept = maximal_conversations(hashed)
     release(hashed)
-    keyed = turns.select(F.coalesce("conv_id", F.lit(0)).alias("c"), F.col("conv_id").isNull().alias("c_null"), "conv_id", "turn", "role", "text").join(kept, CONV)
+    keyed = turns.select(*conversation(turns), "conv_id", "turn", "role", "text").join(kept, CONV)
     nulls_first = [x for name in ("turn", "role", "text") for x in (F.col(name).isNotNull().alias(f"has_{name}"), F.col(name))]
     whole = keyed.groupBy("conv_id", "n_turns", "snapshots").agg(F.array_sort(F.collect_list(F.struct(*nulls_first))).alias("pieces"))
     return whole.select("conv_id", "n_turns", "snapshots", F.array_join(F.transform("pieces", lambda p: rendered_turn(p["role"], p["text"])), "").alias("rendered"))

@@ -302,3 +302,11 @@ def test_pipeline_judges_each_document_once(spark, monkeypatch):
     rows = corpus_pipeline.run(spark, SF).count()
     kept = corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).count()
     assert rows > 0 and seen.value == kept
+
+
+def test_chats_whose_ids_are_no_numbers(spark):
+    from sparkloom.llm import chat_format
+
+    rows = [("a-1", 0, "user", "hi"), ("a-2", 0, "user", "hi"), ("a-2", 1, "assistant", "yes"), (None, 0, "user", "null"), ("0", 0, "user", "zero")]
+    found = {r.conv_id: (r.n_turns, r.snapshots) for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()}
+    assert found == {"a-2": (2, 1), None: (1, 1), "0": (1, 1)}
