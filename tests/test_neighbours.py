@@ -17,6 +17,7 @@ MOST_ROWS = 300_000
 QUERIES = [
     "admit",
     "admit_cards",
+    "fuse_many",
     "knn_cosine",
 ]
 
