@@ -18,6 +18,7 @@ QUERIES = [
     "admit",
     "admit_cards",
     "fuse_many",
+    "fuse_many_from_zero",
     "knn_cosine",
 ]
 
