@@ -19,6 +19,7 @@ QUERIES = [
     "admit_cards",
     "fuse_many",
     "fuse_many_from_zero",
+    "in_window",
     "knn_cosine",
 ]
 
