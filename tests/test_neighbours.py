@@ -21,6 +21,7 @@ QUERIES = [
     "fuse_many_from_zero",
     "in_window",
     "knn_cosine",
+    "label_auc",
 ]
 
 
