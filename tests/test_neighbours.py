@@ -22,6 +22,7 @@ QUERIES = [
     "in_window",
     "knn_cosine",
     "label_auc",
+    "recall_at_k",
 ]
 
 
