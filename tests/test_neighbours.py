@@ -23,6 +23,7 @@ QUERIES = [
     "knn_cosine",
     "label_auc",
     "recall_at_k",
+    "shortlist_cards",
 ]
 
 
