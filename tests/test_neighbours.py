@@ -24,6 +24,7 @@ QUERIES = [
     "label_auc",
     "recall_at_k",
     "shortlist_cards",
+    "similarity_percentiles",
     "space_overlap",
 ]
 
