@@ -19,6 +19,8 @@ BLOCK = 64
 DENSE = 16
 #: Texts that are searched at once.
 TEXTS = 64
+#: Arrays that only the index has; they are made from the examples where they are first asked for.
+BUILT = ("terms", "factor", "silent", "toxic", "ids", "weight", "postings", "knots", "values")
 #: Weight of the no-evidence rate among the votes, where a nearest possible neighbour weighs 1.
 PRIOR = 0.0025
 
@@ -78,7 +80,23 @@ class ExampleIndex:
     """
 
     def __init__(self, rows: list[tuple[int | None, int, np.ndarray, np.ndarray]], rates: tuple[float, float]):
-        """rows: (doc_id, toxic, term hashes, term counts) of each example; rates: rows that an example of class 0 or 1 stands for."""
+        """rows: (doc_id, toxic, term hashes, term counts) of each example; rates: rows that an example of class 0 or 1 stands for.
+
+        The index itself is built by the process that first uses it, so that the driver, which
+        only sends the examples on, holds no more than them.
+        """
+        self.rows, self.rates = rows, rates
+
+    def __getattr__(self, name: str):
+        if name not in BUILT or "rows" not in self.__dict__:
+            raise AttributeError(name)
+        self._build(self.rows, self.rates)
+        return self.__dict__[name]
+
+    def __getstate__(self) -> dict:
+        return {"rows": self.rows, "rates": self.rates}
+
+    def _build(self, rows: list[tuple[int | None, int, np.ndarray, np.ndarray]], rates: tuple[float, float]) -> None:
         n = len(rows)
         toxic = np.array([t for _, t, *_ in rows], np.int64)
         ids = np.array([d if d is not None else -1 for d, *_ in rows], np.int64)
@@ -220,7 +238,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -
     The examples are those of least hash of their id, whole texts with all their terms; a
     document of several labels is toxic if one says so. Null ids, labels and texts teach
     nothing; an empty table leaves no example. The chosen ids, at most twice `examples`, are broadcast to find the texts; terms
-    are counted on the executors and travel to the driver as 16 bytes a term of an example.
+    are counted on the executors and travel through the driver as 16 bytes a term of an example.
+    Each Python worker builds the index once, when it first scores.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = least_hashed(known, "toxic", "doc_id", examples).select("doc_id", "toxic")

@@ -1,5 +1,6 @@
 """The corpus operators against plain versions, with nulls, blanks, ties, repeats, empty tables and extra columns."""
 
+import pickle
 import random
 
 import numpy as np
@@ -220,6 +221,19 @@ def test_toxicity_keeps_every_term_of_few_examples(spark):
     assert got[40].terms == ["vile"] and {e.toxic for e in got[40].evidence} == {1}
 
 
+def test_toxicity_index_is_built_by_who_uses_it(spark):
+    docs = spark.createDataFrame([(i, f"ay bee w{i} " + ("vile" if i % 3 == 0 else "fine")) for i in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 = 0) AS toxic")
+    model = toxicity.fit_toxicity(docs, labels)
+    sent = pickle.loads(pickle.dumps(model))
+    want = [r.score for r in toxicity.score_toxicity(docs, model).orderBy("doc_id").collect()]
+    # the driver has only sent the examples on: 16 bytes a term of each
+    assert not set(toxicity.BUILT) & set(vars(model)) and not set(toxicity.BUILT) & set(vars(sent))
+    assert sum(h.nbytes + c.nbytes for *_, h, c in model.rows) == 60 * 4 * 16
+    assert [s for s, *_ in sent.score([r.text.encode() for r in docs.orderBy("doc_id").collect()])] == want
+    assert vars(sent).keys() >= set(toxicity.BUILT) and pickle.loads(pickle.dumps(sent)).rates == model.rates
+
+
 def test_toxicity_search_matches_all_products():
     rng = np.random.default_rng(6)
     rows = []
