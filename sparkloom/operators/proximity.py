@@ -194,11 +194,14 @@ index_percentiles = places_of
 def auc(pairs: DataFrame) -> DataFrame:
     """One row, auc: how likely a pair of class 1 (same) scores above one of class 0, ties by half.
 
-    Scores are counted first, so the ranks run over distinct scores; rounded ones keep them few.
+    Scores are counted first, so the ranks run over distinct scores, dealt by ranges; no task sees them all.
     """
     counts = pairs.groupBy("score").agg(F.count_if("same").alias("p"), F.count_if(~F.col("same")).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.select("p", "q", (F.col("p") * (below + F.col("q") / 2)).alias("won"))
+    dealt = cut_lineage(counts.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    upto = lambda w: F.coalesce(F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = dealt.groupBy("part").agg(F.sum("q").alias("q")).select("part", upto(Window.orderBy("part")).alias("before"))  # one row a range
+    below = F.col("before") + upto(Window.partitionBy("part").orderBy("score"))
+    won = dealt.join(F.broadcast(before), "part").select("p", "q", (F.col("p") * (below + F.col("q") / 2)).alias("won"))
     return won.agg(F.round(F.sum("won") / F.nullif(F.sum("p").cast("double") * F.sum("q"), F.lit(0.0)), 6).alias("auc"))
 
 

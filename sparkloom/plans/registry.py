@@ -93,6 +93,8 @@ _VEC = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddin
 _SIM = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
 _KNN = f"""{_VEC}, s AS (SELECT a.id AS query_id, b.id, round({_SIM}, 6) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
 knn AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank, id, score FROM s QUALIFY rank <= 20)"""
+#: The same of every vector, for figures about the whole space.
+_KNN_ALL = _KNN.replace(" WHERE a.id % 100 = 0", "")
 
 
 def _knn(spark, d, k=20):
@@ -100,6 +102,11 @@ def _knn(spark, d, k=20):
     return search.nearest(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "v"), k)
 
 
+def _knn_all(spark, d, k=20):
+    v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return search.nearest(v, v.withColumnRenamed("id", "query_id"), k)
+
+
 #: An adapter from 64 numbers to 8, by rule.
 ADAPTER = [[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(8)] for i in range(64)]
 
