@@ -184,11 +184,12 @@ def label_graph(spark, d):
     return pairs.groupBy(F.col("a.label").alias("u"), F.col("b.label").alias("v")).agg(F.round(F.sum(F.col("a.x") * F.col("b.x")), 4).alias("similarity")).where("similarity >= 0.02")
 
 
-@query(f"""WITH {_KNN}, e AS (SELECT x.label, list_sort(list(score)) AS s FROM knn JOIN embeddings x ON x.vec_id = knn.query_id GROUP BY x.label)
+@query(f"""WITH {_KNN_ALL}, e AS (SELECT x.label, list_sort(list(score)) AS s FROM knn JOIN embeddings x ON x.vec_id = knn.query_id GROUP BY x.label)
 SELECT label, len(s) AS n, s[1] AS least, s[len(s) // 10 + 1] AS p10, s[len(s) // 2 + 1] AS median, s[len(s)] AS most FROM e""")
 def similarity_percentiles(spark, d):
+    """Scores of the 20 neighbours of every vector, by its label."""
     labels = _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
-    ranked = _knn(spark, d).join(labels, "query_id")
+    ranked = _knn_all(spark, d).join(labels, "query_id")
     return places_of(cut_lineage(ranked), "label", "score", {"least": "0L", "p10": "n div 10", "median": "n div 2", "most": "n - 1"})
 
 

@@ -50,3 +50,11 @@ def test_auc_over_ranges(spark, tasks):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert proximity.auc(spark.createDataFrame([(0.5, True)], "score double, same boolean")).first().auc is None
+
+
+def test_percentiles_of_every_vector(spark, space):
+    d, v, labels = space
+    scores = {x: sorted(-s for i, row in enumerate(near(v, 20)) if labels[i] == x for s, _ in row) for x in set(labels)}
+    want = [(x, len(s), s[0], s[len(s) // 10], s[len(s) // 2], s[-1]) for x, s in sorted(scores.items())]
+    got = registry.queries()["similarity_percentiles"](spark, d).select("label", "n", "least", "p10", "median", "most").orderBy("label").collect()
+    assert [tuple(r) for r in got] == [pytest.approx(w, abs=2e-6) for w in want]
