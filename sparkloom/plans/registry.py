@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.functions import vectors as V
 from sparkloom.operators import context, graph, relations, search, segmentation, selection, spaces, sync
-from sparkloom.operators.lineage import cut_lineage
-from sparkloom.operators.ordering import places_of
+from sparkloom.operators.ordering import places_by_steps
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -190,7 +189,7 @@ def similarity_percentiles(spark, d):
     """Scores of the 20 neighbours of every vector, by its label."""
     labels = _t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
     ranked = _knn_all(spark, d).join(labels, "query_id")
-    return places_of(cut_lineage(ranked), "label", "score", {"least": "0L", "p10": "n div 10", "median": "n div 2", "most": "n - 1"})
+    return places_by_steps(ranked, "label", "score", {"least": "0L", "p10": "n div 10", "median": "n div 2", "most": "n - 1"}, F.round("score", 3))
 
 
 @query("""SELECT vec_id, round(list_dot_product(v, v), 4) AS squared, list_contains(list_transform(v, lambda x: isfinite(x)), false) AS broken

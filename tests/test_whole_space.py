@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.operators import proximity
+from sparkloom.operators.ordering import places_by_steps, places_of
 from sparkloom.plans import registry
 
 N = 60
@@ -58,3 +60,14 @@ def test_percentiles_of_every_vector(spark, space):
     want = [(x, len(s), s[0], s[len(s) // 10], s[len(s) // 2], s[-1]) for x, s in sorted(scores.items())]
     got = registry.queries()["similarity_percentiles"](spark, d).select("label", "n", "least", "p10", "median", "most").orderBy("label").collect()
     assert [tuple(r) for r in got] == [pytest.approx(w, abs=2e-6) for w in want]
+
+
+def test_places_by_steps_as_by_numbers(spark):
+    rng = np.random.default_rng(6)
+    groups = [None, "a", "b", "c"]
+    rows = [(groups[i % 4], float(x)) for i, x in enumerate(rng.integers(-90, 90, 403) / 1000)] + [("c", 0.5)] * 50 + [("d", float("nan")), ("d", 0.1)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    places = {"low": "0L", "p10": "n div 10", "mid": "n div 2", "high": "n - 1", "beyond": "n"}
+    one, other = (sorted(map(str, f.collect())) for f in (places_by_steps(df, "g", "x", places, F.round("x", 2)), places_of(df, "g", "x", places)))
+    assert len(one) == 5
+    assert one == other
