@@ -62,6 +62,13 @@ def test_percentiles_of_every_vector(spark, space):
     assert [tuple(r) for r in got] == [pytest.approx(w, abs=2e-6) for w in want]
 
 
+def test_overlap_of_every_vector(spark, space):
+    d, v, _ = space
+    want = [(i + 1, n, n / 10) for i, (one, other) in enumerate(zip(near(v, 10), near(v[:, :32], 10), strict=True)) for n in [len({j for _, j in one} & {j for _, j in other})]]
+    got = registry.queries()["space_overlap"](spark, d).select("query_id", "shared", "overlap").orderBy("query_id").collect()
+    assert [tuple(r) for r in got] == [pytest.approx(w) for w in want]
+
+
 def test_places_by_steps_as_by_numbers(spark):
     rng = np.random.default_rng(6)
     groups = [None, "a", "b", "c"]
